@@ -24,12 +24,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import chunks, list_array, narrow, stage, table
 
 STATES, ITERATIONS, HEAVY_SHARE, ENDINGS, SEED = 4, 3, 4096, 1024, 11
 #: Text per block of documents, in bytes.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 _FLOOR = 1e-12
 
 
@@ -115,37 +116,33 @@ def forward(layout: Layout, emitted: np.ndarray, first: np.ndarray, steps: np.nd
     return alpha, scale
 
 
-def backward(layout: Layout, weighted: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Scaled backward probabilities; ``weighted`` is emission over scale."""
-    beta = np.ones_like(weighted)
-    turned = np.ascontiguousarray(steps.T)
-    for t in range(layout.longest - 2, -1, -1):
-        a, b, n = layout.at[t], layout.at[t + 1], layout.live[t + 1]
-        np.matmul(beta[b : b + n] * weighted[b : b + n], turned, out=beta[a : a + n])
-    return beta
-
-
 def expect(layout: Layout, symbols: np.ndarray, first: np.ndarray, steps: np.ndarray, emission: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of first states, steps and emissions over a block, and its log likelihood."""
+    """Expected counts of first states, steps and emissions over a block, and its log likelihood.
+
+    The backward recursion keeps one step at a time, and turns the forward probabilities into the
+    states' posteriors in their place."""
     k = len(first)
     emitted = emission[symbols]
     alpha, scale = forward(layout, emitted, first, steps)
     emitted /= scale[:, None]
-    beta = backward(layout, emitted, steps)
-    moved = np.zeros((k, k))
-    if layout.longest > 1:
-        later = layout.at[1]
-        before = np.arange(later, len(symbols)) - np.repeat(layout.live[:-1], layout.live[1:])
-        moved = steps * (alpha[before].T @ (beta[later:] * emitted[later:]))
-    alpha *= beta
+    moved, turned = np.zeros((k, k)), np.ascontiguousarray(steps.T)
+    beta = np.ones((layout.docs, k))
+    onward = np.empty((layout.docs, k))
+    for t in range(layout.longest - 2, -1, -1):
+        a, b, n = layout.at[t], layout.at[t + 1], layout.live[t + 1]
+        weighted = np.multiply(beta[:n], emitted[b : b + n], out=onward[:n])
+        moved += alpha[a : a + n].T @ weighted
+        np.matmul(weighted, turned, out=beta[:n])
+        alpha[a:b] *= beta[: b - a]
     told = np.stack([np.bincount(symbols, alpha[:, j], len(emission)) for j in range(k)], axis=1)
-    return alpha[: layout.docs].sum(0), moved, told, float(np.log(scale).sum())
+    return alpha[: layout.docs].sum(0), steps * moved, told, float(np.log(scale).sum())
 
 
 @dataclass
 class Model:
     """first (K), steps (K x K), emission (symbols x K); the heavy words' hashes, ascending; corpus words and
-    distinct words of each symbol; and the counts of all words as a written table."""
+    distinct words of each symbol; and the corpus count of each word of each block, as a written table
+    (block, code, n, ending, word), in which one row of each word has its hash."""
 
     first: np.ndarray
     steps: np.ndarray
@@ -154,9 +151,14 @@ class Model:
     mass: np.ndarray
     distinct: np.ndarray
     endings: int
-    counts: DataFrame
+    located: DataFrame
     likelihoods: list[float]
 
+    @property
+    def counts(self) -> DataFrame:
+        """(word, n) of every word of the corpus."""
+        return self.located.where("word is not null").select("word", "n")
+
     def symbols(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
         return _symbols(self.heavy, hashes, endings)
 
@@ -205,8 +207,11 @@ def encode(docs: DataFrame, endings: int = ENDINGS, id_col: str = "doc_id", text
 
 def train(blocks: DataFrame, states: int = STATES, iterations: int = ITERATIONS, heavy_share: int = HEAVY_SHARE, endings: int = ENDINGS, seed: int = SEED) -> Model:
     """Baum-Welch over all blocks; the likelihood never falls from one iteration to the next."""
-    told = blocks.select(F.explode(F.arrays_zip("words", "endings", "counts")).alias("w")).select("w.*")
-    counts = stage(told.groupBy(F.col("words").alias("word")).agg(F.first("endings").alias("ending"), F.sum("counts").alias("n")), "word-counts")
+    told = blocks.select("block", F.posexplode(F.arrays_zip("words", "endings", "counts")).alias("code", "w")).select("block", "code", "w.*")
+    alike = Window.partitionBy("words")
+    located = told.select("block", "code", "endings", "words", F.sum("counts").over(alike).alias("n"), F.row_number().over(alike.orderBy("block")).alias("r"))
+    located = stage(located.select("block", "code", "n", F.col("endings").alias("ending"), F.when(F.col("r") == 1, F.col("words")).alias("word")), "word-counts")
+    counts = located.where("word is not null").select("word", "ending", "n")
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") > F.lit(total / heavy_share)).select("word", "n").toArrow()
     order = np.argsort(np.asarray(hot["word"], np.int64))
@@ -238,7 +243,7 @@ def train(blocks: DataFrame, states: int = STATES, iterations: int = ITERATIONS,
         emission[key[key >= 0]] += values[key >= 0]
         emission /= emission.sum(0)
         likelihoods.append(float(by[-1000][0]))
-    return Model(first, steps, emission, heavy, mass, distinct, endings, counts, likelihoods)
+    return Model(first, steps, emission, heavy, mass, distinct, endings, located, likelihoods)
 
 
 def _likelihood(first, steps, emission, heavy, mass, distinct):
@@ -269,17 +274,19 @@ def _likelihood(first, steps, emission, heavy, mass, distinct):
     return run
 
 
-def score(blocks: DataFrame, model: Model) -> DataFrame:
+def score(blocks: DataFrame, model: Model, trained_on: bool = False) -> DataFrame:
     """(doc_id, n_words, log_likelihood, perplexity) of every document of the blocks.
 
     The likelihood is that of the whole word sequence, by the scaled forward recursion; words are white-space
     separated, in lower case. A null, empty or blank text has no words, log likelihood 0 and a null
     perplexity. Repeated rows, and null ids, are scored each. A word that the model hasn't seen has its symbol's share
-    for unseen words.
+    for unseen words. ``trained_on``: these are the very blocks that the model was trained on, whose word counts are at hand.
     """
     # each block gets the counts of its own words
-    own = blocks.select("block", F.posexplode("words").alias("code", "word"))
-    known = own.join(model.counts.select("word", "n"), "word").groupBy("block").agg(F.collect_list(F.struct("code", "n")).alias("known"))
+    own = model.located
+    if not trained_on:
+        own = blocks.select("block", F.posexplode("words").alias("code", "word")).join(model.counts, "word")
+    known = own.select("block", F.struct("code", "n").alias("k")).groupBy("block").agg(F.collect_list("k").alias("known"))
     joined = blocks.select("block", "doc_ids", "lengths", "codes", "words", "endings").join(known, "block", "left")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     run = _likelihood(model.first, model.steps, model.emission, model.heavy, model.mass, model.distinct)
@@ -289,7 +296,7 @@ def score(blocks: DataFrame, model: Model) -> DataFrame:
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", endings: int = ENDINGS, block_bytes: int = BLOCK_BYTES, **options) -> DataFrame:
     """Train on ``docs`` and score each of them. An empty table gives an empty result; other columns play no part."""
     blocks = encode(docs, endings, id_col, text_col, block_bytes)
-    return score(blocks, train(blocks, endings=endings, **options))
+    return score(blocks, train(blocks, endings=endings, **options), True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
