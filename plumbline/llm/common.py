@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from ..workers import importable
 
 __all__ = ["shared_dir", "stage"]
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that clashes with none of ``df``'s, whatever its columns are called."""
@@ -74,6 +77,13 @@ def _join(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return whole.to_batches()[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and large blocks leave holes."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of ``arange(s, s + n)`` over all pairs."""
     total = int(lengths.sum())

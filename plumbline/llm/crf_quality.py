@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import importable
-from .common import chunks, list_array, narrow, strings, table
+from .common import chunks, list_array, narrow, release, strings, table
 
 MAX_DOCS, STEPS, KEEP = 2000, 120, 0.5
 _SYMBOL, _PIPE, _SHOUT, _UPPER, _DIGIT, _SPACE, _STOP, _LOWER = range(1, 9)
@@ -234,6 +234,8 @@ def _kept(field: Field, keep: float, text_at: int, chunk_bytes: int):
             owner = np.repeat(np.arange(len(counts)), counts)
             quality = np.bincount(owner, post[:, 1] * size, len(counts)) / np.maximum(np.bincount(owner, size, len(counts)), 1)
             yield batch.filter(pa.array((counts > 0) & (quality >= keep)))
+            del x, post, owner
+            release()
 
     return run
 

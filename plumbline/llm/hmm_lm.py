@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, list_array, narrow, stage, table
+from .common import chunks, list_array, narrow, release, stage, table
 
 STATES, ITERATIONS, HEAVY_SHARE, ENDINGS, SEED = 4, 3, 4096, 1024, 11
 #: Text per block of documents, in bytes.
@@ -75,6 +75,8 @@ def _encoded(endings: int, block_bytes: int):
                 ],
                 ["doc_ids", "lengths", "codes", "words", "endings", "counts"],
             )
+            del known, codes, parts, hashes
+            release()
 
     return run
 
@@ -185,6 +187,8 @@ def _expected(first: np.ndarray, steps: np.ndarray, emission: np.ndarray, heavy:
                 layout = Layout(lengths)
                 got = expect(layout, _symbols(heavy, words, endings)[codes[layout.source]], first, steps, emission)
                 totals = got if totals is None else tuple(a + b for a, b in zip(totals, got))
+                del layout
+                release()
         if totals is None:
             return
         f, moved, told, ll = totals
@@ -270,6 +274,8 @@ def _likelihood(first, steps, emission, heavy, mass, distinct):
                     [batch.column("doc_ids")[k].values, pa.array(lengths.astype(np.int64)), pa.array(path + lexical), pa.array(np.where(lengths > 0, np.exp(np.minimum(-rate, 700)), np.nan), from_pandas=True)],
                     ["doc_id", "n_words", "log_likelihood", "perplexity"],
                 )
+                del layout, logs, both, word
+                release()
 
     return run
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, chunks, list_array, narrow, stage, strings, table
+from .common import broadcast_if_small, chunks, list_array, narrow, release, stage, strings, table
 from .spans import SpanCache
 
 N, THRESHOLD, GROUPS, BANDS, ROWS = 2, 0.6, 32, 20, 3
@@ -44,7 +44,7 @@ class Grams:
 
     def __init__(self, n: int):
         self.n = n
-        self.words = SpanCache(self._learn, np.uint64, 1_000_000)
+        self.words = SpanCache(self._learn, np.uint64, 400_000)
 
     def _learn(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         made = [[xxhash.xxh64_intdigest(w) for w in _WORD.findall(t.lower())] for t in tokens]
@@ -114,6 +114,7 @@ def _points(n: int, groups: int, bands: int, rows: int, chunk_bytes: int):
                 ],
                 ["doc_id", "digest", "size", "point", "keys"],
             )
+            release()
 
     return run
 
@@ -209,6 +210,7 @@ def _gram_sets(n: int, chunk_bytes: int):
             flat, size = grams.sets(strings(batch.column(1)))
             digests = pa.array([xxhash.xxh3_128_digest(part.tobytes()) for part in np.split(flat, np.cumsum(size)[:-1])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), digests, list_array(pa.array(flat.view(np.int64)), size)], ["set_id", "digest", "grams"])
+            release()
 
     return run
 
@@ -223,7 +225,7 @@ def ngram_join(
     expand: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chunk_bytes: int = 8 << 20,
+    chunk_bytes: int = 4 << 20,
 ) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: pairs of documents with n-gram Jaccard of at least ``threshold``.
 

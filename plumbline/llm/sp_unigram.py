@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, list_array, narrow, ranges, strings, table
+from .common import chunks, list_array, narrow, ranges, release, strings, table
 from .spans import SpanCache, per_group
 
 MARK = "▁"
@@ -155,7 +155,7 @@ class DoubleArray:
 class Unigram:
     """One model, with the pieces of every span seen so far (``most`` spans at a time)."""
 
-    def __init__(self, path: str = MODEL, most: int = 1_000_000):
+    def __init__(self, path: str = MODEL, most: int = 400_000):
         self.pieces, self.scores, self.kinds, _ = read_model(path)
         own = {p.encode(): i for i, p in reversed(list(enumerate(self.pieces))) if self.kinds[i] in (NORMAL, USER)}
         self.trie = DoubleArray(own)
@@ -406,11 +406,16 @@ def _tokens(path: str, chunk_bytes: int):
                 lists = pc.if_else(pa.array(nulls), pa.scalar(None, lists.type), lists)
                 same = pc.if_else(pa.array(nulls), pa.scalar(None, pa.bool_()), same)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(lengths), same], ["doc_id", "token_ids", "n_tokens", "round_trip"])
+            del lists, ids, back, texts
+            release()
+        # the worker goes on to other tasks, perhaps of other stages: it keeps the model but not the spans
+        sp.parts.reset(), sp.words.reset()
+        release()
 
     return run
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, token_ids, n_tokens, round_trip) of every row: the best pieces of its whole text, and
     whether decoding them gives the very text again.
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, narrow, strings, table
+from .common import chunks, narrow, release, strings, table
 from .spans import SpanCache, per_group
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -35,7 +35,7 @@ SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 class ByteBpe:
     """Byte-level BPE; each distinct word is merged once (up to ``most`` are kept at a time)."""
 
-    def __init__(self, path: str = RANKS, most: int = 600_000):
+    def __init__(self, path: str = RANKS, most: int = 400_000):
         import tiktoken
 
         with open(path, "rb") as f:
@@ -177,8 +177,11 @@ def _pack(path: str, level: int, shard_bytes: int, chunk_bytes: int):
                 held += len(frame) + 12
                 if held >= shard_bytes:
                     yield flush()
+            release()
         if frames:
             yield flush()
+        bpe.words.reset()  # the worker goes on to other tasks
+        release()
 
     return run
 
