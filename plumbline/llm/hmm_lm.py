@@ -1,11 +1,20 @@
 """Language-model scoring with a hidden Markov model trained by Baum-Welch.
 
-Every word of every document takes part. Words are counted over the whole corpus. A word that has over 1 /
-``heavy_share`` of all words is a symbol of its own (so there are fewer than ``heavy_share`` of them in a corpus
-of any size); the others share ``endings`` symbols by their last two characters. The hidden states emit symbols, and
-a symbol emits its words by their smoothed corpus frequency:
+Every word of every document takes part, and every word has its own emission in every state:
 
-    P(text) = sum over state paths of  prod  P(state | state before) P(symbol | state)  x  prod P(word | symbol)
+    P(text) = sum over state paths of  prod  P(state | state before) P(word | state)
+    P(word | state) = (c(word, state) + PRIOR x base(word, state)) / (c(state) + PRIOR)
+
+where c are the expected counts. The base is a class model, and only smooths and starts the word model. In it, a word
+that has over 1 / ``heavy_share`` of all words is a symbol of its own (so there are fewer than ``heavy_share`` of
+them in a corpus of any size); the others share ``endings`` symbols by their last two characters, states emit symbols,
+and a symbol emits its words by their smoothed corpus frequency:
+
+    base(word, state) = P(symbol | state) P(word | symbol)
+
+The class model is trained first, a few iterations; then the word model, until its likelihood settles. Its counts,
+a vector for each word, are a table that grows with the corpus: each block of documents sends those of its
+own words to the words' parts, which add them up, and gets the sums back. Both ways are shuffles, packed by (block, part).
 
 The expectation step runs in every partition over its documents (scaled forward and backward recursions, all
 documents of a block side by side) and emits expected counts; these are summed across partitions,
@@ -16,6 +25,9 @@ broadcast: each block of documents gets the counts of its own words by a shuffle
 
 from __future__ import annotations
 
+import gc
+import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +38,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, list_array, narrow, release, stage, table
+from .common import chunks, list_array, narrow, release, shared_dir, stage, table
 
 STATES, ITERATIONS, HEAVY_SHARE, ENDINGS, SEED = 4, 3, 4096, 1024, 11
 #: Text per block of documents, in bytes.
 BLOCK_BYTES = 8 << 20
+#: Words' worth of the class model in each state of the word model.
+PRIOR = 1.0
+#: Training ends when an iteration changes the log likelihood by less than this share; MOST only guards against no end.
+SETTLED, MOST = 1e-4, 200
+#: (block, word) pairs that a part of the words holds, about.
+PART_PAIRS = 400_000
 _FLOOR = 1e-12
 
 
@@ -202,11 +220,18 @@ def _expected(first: np.ndarray, steps: np.ndarray, emission: np.ndarray, heavy:
 
 
 def encode(docs: DataFrame, endings: int = ENDINGS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of encoded documents, written to shared storage."""
+    """Blocks of encoded documents, written to shared storage in buckets, so that reading them by block shuffles nothing."""
     own = narrow(docs, doc_id=id_col, text=text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
     made = own.mapInArrow(_encoded(endings, block_bytes), f"doc_ids array<{kind}>, lengths array<int>, codes binary, words array<bigint>, endings array<smallint>, counts array<bigint>")
-    return stage(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    spark, name = docs.sparkSession, f"plumbline_blocks_{uuid.uuid4().hex}"
+    to = made.withColumn("block", F.monotonically_increasing_id()).write.format("parquet").bucketBy(_buckets(spark), "block")
+    to.option("path", f"{shared_dir(spark)}/stage-{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def _buckets(spark: SparkSession) -> int:
+    return min(100_000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def train(blocks: DataFrame, states: int = STATES, iterations: int = ITERATIONS, heavy_share: int = HEAVY_SHARE, endings: int = ENDINGS, seed: int = SEED) -> Model:
@@ -299,10 +324,174 @@ def score(blocks: DataFrame, model: Model, trained_on: bool = False) -> DataFram
     return joined.mapInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double, perplexity double")
 
 
+@dataclass
+class WordModel:
+    """first (K), steps (K x K), and the expected counts: of each state (K), and of each word in each state as a written
+    table (block, part, data), data being a float for each word of the block in that part and each state, in the order of its codes."""
+
+    classes: Model
+    first: np.ndarray
+    steps: np.ndarray
+    total: np.ndarray
+    told: DataFrame
+    parts: int
+    likelihoods: list[float]
+
+
+def _split(words: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The parts that a block's words are in, and the codes of these words."""
+    part = ((words.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
+    for a, b in zip([0, *ends[:-1]], ends):
+        yield int(part[order[a]]), order[a:b]
+
+
+_SENT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("data", pa.binary())])
+
+
+def _sent(block: int, words: np.ndarray, values: np.ndarray, parts: int, figures: np.ndarray | None = None) -> pa.Table:
+    """A block's values for its words, a row for each part; its figures as part -1."""
+    rows = [(p, block, words[own].tobytes(), values[own].astype(np.float32).tobytes()) for p, own in _split(words, parts)]
+    if figures is not None:
+        rows.append((-1, block, b"", figures.tobytes()))
+    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _SENT)], schema=_SENT)
+
+
+def _add(part: pa.Table) -> pa.Table:
+    """The sums over all blocks of the values of a part's words, for each block; of part -1, one row of sums."""
+    p, data = part.column("part")[0].as_py(), part.column("data").to_pylist()
+    if p < 0:
+        total = sum(np.frombuffer(x) for x in data)
+        return pa.table([pa.array([p], pa.int32()), pa.array([-1], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "block", "data"])
+    words = [np.frombuffer(w, np.int64) for w in part.column("words").to_pylist()]
+    sizes = np.array([len(w) for w in words])
+    _, at = np.unique(np.concatenate(words), return_inverse=True)
+    values = np.frombuffer(b"".join(data), np.float32).reshape(len(at), -1)
+    sums = np.stack([np.bincount(at, v) for v in values.T], axis=1).astype(np.float32)
+    out = [sums[x].tobytes() for x in np.split(at, np.cumsum(sizes)[:-1])]
+    release()
+    return pa.table([part.column("part"), part.column("block"), pa.array(out, pa.binary())], ["part", "block", "data"])
+
+
+def _summed(sent: DataFrame) -> DataFrame:
+    return stage(sent.groupBy("part").applyInArrow(_add, "part int, block bigint, data binary"), "word-states")
+
+
+def _dropped(used: DataFrame) -> None:
+    """Delete a written table that isn't read again, and let Spark drop the shuffles of jobs that have ended."""
+    spark, files = used.sparkSession, used.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _emitted(block: pa.Table, told: pa.Table, classes: tuple, total: np.ndarray | None, parts: int) -> np.ndarray:
+    """P(word | state) of a block's words. Without totals, what is told is the words' corpus counts, and the start of training is meant."""
+    emission, heavy, mass, distinct = classes
+    words, endings = (np.asarray(block.column(c)[0].values) for c in ("words", "endings"))
+    own = dict(zip(told.column("part").to_pylist(), told.column("data").to_pylist()))
+    counts = np.empty((len(words), 1 if total is None else len(total)))
+    for p, codes in _split(words, parts):
+        counts[codes] = np.frombuffer(own[p], np.float32).reshape(len(codes), -1)
+    symbols = _symbols(heavy, words, endings)
+    base = emission[symbols] * ((counts.sum(1) + 1) / (mass + distinct + 1)[symbols])[:, None]
+    return base * _jitter(words, base.shape[1]) if total is None else (counts + PRIOR * base) / (total + PRIOR)
+
+
+def _jitter(words: np.ndarray, states: int) -> np.ndarray:
+    """0.5 to 1.5, by word and state: words of a class must start apart, or states that the classes don't tell apart never part."""
+    mixed = (words.view(np.uint64)[:, None] ^ np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    return 0.5 + (mixed >> np.uint64(40)) / 2.0**24
+
+
+def _by_block(blocks: DataFrame, told: DataFrame, columns: list[str]):
+    placed = told.where("part >= 0").repartition(_buckets(blocks.sparkSession), "block")
+    return blocks.select("block", *columns).groupBy("block").cogroup(placed.groupBy("block"))
+
+
+def _expected_words(first: np.ndarray, steps: np.ndarray, total: np.ndarray | None, classes: tuple, parts: int):
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        lengths, codes, words, _ = _block(block, 0)
+        if not len(codes):
+            return _SENT.empty_table()
+        layout = Layout(lengths)
+        f, moved, c, ll = expect(layout, codes[layout.source], first, steps, _emitted(block, told, classes, total, parts))
+        del layout
+        release()
+        return _sent(block.column("block")[0].as_py(), words, c, parts, np.concatenate([f, moved.ravel(), c.sum(0), [ll]]))
+
+    return run
+
+
+def train_words(blocks: DataFrame, classes: Model, settled: float = SETTLED, most: int = MOST) -> WordModel:
+    """Baum-Welch over all words of all blocks, from the class model on, until the likelihood settles."""
+    pairs = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / PART_PAIRS))
+    fixed = (classes.emission, classes.heavy, classes.mass, classes.distinct)
+    sent_type = "part int, block bigint, words binary, data binary"
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words, n = (np.asarray(batch.column(c)[k].values) for c in ("words", "counts"))
+                yield from _sent(batch.column("block")[k].as_py(), words, n[:, None], parts).to_batches()
+
+    told = _summed(blocks.select("block", "words", "counts").mapInArrow(counted, sent_type))
+    first, steps, total, states, likelihoods = classes.first, classes.steps, None, len(classes.first), []
+    for _ in range(most if pairs else 0):
+        run = _expected_words(first, steps, total, fixed, parts)
+        after = _summed(_by_block(blocks, told, ["lengths", "codes", "words", "endings"]).applyInArrow(run, sent_type))
+        _dropped(told)
+        told = after
+        figures = np.frombuffer(bytes(told.where("part < 0").first()["data"]))
+        first = figures[:states] / figures[:states].sum()
+        steps = figures[states : -states - 1].reshape(states, states) + _FLOOR
+        steps /= steps.sum(1, keepdims=True)
+        total = figures[-states - 1 : -1]
+        likelihoods.append(float(figures[-1]))
+        # the start isn't quite normalised, so the first likelihood doesn't count
+        if len(likelihoods) > 2 and abs(likelihoods[-1] - likelihoods[-2]) < settled * abs(likelihoods[-2]):
+            break
+    return WordModel(classes, first, steps, total, told, parts, likelihoods)
+
+
+def score_words(blocks: DataFrame, model: WordModel) -> DataFrame:
+    """As ``score``, by the word model, of the blocks that it was trained on."""
+    c = model.classes
+    first, steps, total, parts, fixed = model.first, model.steps, model.total, model.parts, (c.emission, c.heavy, c.mass, c.distinct)
+
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        lengths, codes, _, _ = _block(block, 0)
+        layout = Layout(lengths)
+        logs = np.empty(len(codes))
+        if len(codes):
+            emission = _emitted(block, told, fixed, total, parts)
+            logs[layout.source] = np.log(forward(layout, emission[codes[layout.source]], first, steps)[1])
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        sums = np.concatenate([[0.0], np.cumsum(logs)])
+        path = sums[ends[1:]] - sums[ends[:-1]]
+        made = pa.table(
+            [block.column("doc_ids")[0].values, pa.array(lengths.astype(np.int64)), pa.array(path), pa.array(np.where(lengths > 0, np.exp(np.minimum(-path / np.maximum(lengths, 1), 700)), np.nan), from_pandas=True)],
+            ["doc_id", "n_words", "log_likelihood", "perplexity"],
+        )
+        del layout, logs
+        release()
+        return made
+
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    return _by_block(blocks, model.told, ["doc_ids", "lengths", "codes", "words", "endings"]).applyInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double, perplexity double")
+
+
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", endings: int = ENDINGS, block_bytes: int = BLOCK_BYTES, **options) -> DataFrame:
     """Train on ``docs`` and score each of them. An empty table gives an empty result; other columns play no part."""
     blocks = encode(docs, endings, id_col, text_col, block_bytes)
-    return score(blocks, train(blocks, endings=endings, **options), True)
+    classes = train(blocks, endings=endings, **options)
+    _dropped(classes.located)
+    model = train_words(blocks, classes)
+    return score_words(blocks, model)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

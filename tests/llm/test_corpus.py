@@ -226,6 +226,43 @@ def test_scoring(spark, docs, odd_docs, no_docs):
     assert hmm_lm.score_corpus(no_docs).count() == 0
 
 
+def test_every_word_has_emissions_of_its_own(spark):
+    """Words of the same ending, each rare, of which one state has one half and another state the other."""
+    left, right = [[f"{h}{k}xy" for k in range(40)] for h in ("l", "r")]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(right if i % 2 else left, 60)) for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blocks = hmm_lm.encode(docs, block_bytes=6000)
+    assert blocks.count() > 2
+    classes = hmm_lm.train(blocks, states=2, heavy_share=20)
+    assert len(classes.heavy) == 0
+    model = hmm_lm.train_words(blocks, classes, settled=1e-6)
+    assert len(model.likelihoods) > 3 and abs(model.likelihoods[-1] - model.likelihoods[-2]) < 1e-6 * abs(model.likelihoods[-2])
+    # the same iterations on one machine, with every word a symbol
+    counts = Counter(w for t in texts for w in t.split())
+    vocabulary = sorted(counts)
+    number = {w: k for k, w in enumerate(vocabulary)}
+    h = np.array([hmm_lm.xxhash.xxh3_64_intdigest(w) for w in vocabulary], np.uint64).view(np.int64)
+    s = classes.symbols(h, np.array([hmm_lm._ending(w, classes.endings) for w in vocabulary]))
+    base = classes.emission[s] * ((np.array([counts[w] for w in vocabulary]) + 1) / (classes.mass + classes.distinct + 1)[s])[:, None]
+    layout = hmm_lm.Layout(np.array([len(t.split()) for t in texts]))
+    tokens = np.array([number[w] for t in texts for w in t.split()])[layout.source]
+    first, steps, emission = classes.first, classes.steps, base * hmm_lm._jitter(h, 2)
+    for want in model.likelihoods:
+        f, moved, c, ll = hmm_lm.expect(layout, tokens, first, steps, emission)
+        assert abs(ll - want) < 1e-7 * abs(want)  # counts travel as single floats
+        first, steps = f / f.sum(), (moved + 1e-12) / (moved + 1e-12).sum(1, keepdims=True)
+        emission = (c + hmm_lm.PRIOR * base) / (c.sum(0) + hmm_lm.PRIOR)
+    _, scale = hmm_lm.forward(layout, emission[tokens], first, steps)
+    logs = np.empty(len(tokens))
+    logs[layout.source] = np.log(scale)
+    got = {r["doc_id"]: r["log_likelihood"] for r in hmm_lm.score_words(blocks, model).collect()}
+    assert len(got) == 80 and all(abs(got[i] - logs[60 * i : 60 * i + 60].sum()) < 1e-2 for i in got)
+    # what classes by ending can't tell: half of the words are out of the question in each text
+    alike = {r["doc_id"]: r["log_likelihood"] for r in hmm_lm.score(blocks, classes, True).collect()}
+    assert sum(got.values()) > sum(alike.values()) + 0.5 * len(tokens)
+
+
 # -- 6 ------------------------------------------------------------------------------------------------
 
 
