@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,14 +43,18 @@ def buckets(data: DataFrame, config: LshConfig, dims: int, id_col: str = "id", v
     return exploded if keep_vector else exploded.drop("vec")
 
 
-def lsh_search(queries: DataFrame, data: DataFrame, config: LshConfig, dims: int, k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """(query_id, rank, id, distance) among rows that share a bucket with the query in any table.
+def lsh_search(queries: DataFrame, data: DataFrame, config: LshConfig, dims: int, k: int, id_col: str = "id", vector_col: str = "vector", flips: int = 0) -> DataFrame:
+    """(query_id, rank, id, distance) among rows that share a bucket with the query in any table,
+    or whose bucket's number differs from the query's in at most ``flips`` bits.
 
     Buckets are joined without vectors; these follow only for the distinct candidate pairs.
     """
     if dims < 1:
         raise IndexError_("the dimension is not known")
     q = buckets(queries, config, dims, id_col, vector_col).withColumnRenamed("id", "query_id")
+    if flips:
+        masks = [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(config.num_bits), n)]
+        q = q.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks]))).select("table_no", F.col("bucket").bitwiseXOR(F.col("mask")).alias("bucket"), "query_id")
     pairs = q.join(buckets(data, config, dims, id_col, vector_col), ["table_no", "bucket"]).select("query_id", "id").distinct()
     left = prepared(queries, id_col, vector_col).select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
     full = pairs.join(left, "query_id").join(prepared(data, id_col, vector_col), "id")

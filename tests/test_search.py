@@ -187,3 +187,14 @@ def test_settings():
     for bad in (dict(kind="hnsw", m=1), dict(kind="ivf", num_clusters=2, num_probes=3), dict(kind="lsh", num_bits=33), dict(kind="annoy", search_k=0), dict(kind="none"), dict(kind="flat", x=1)):
         with pytest.raises((ConfigurationError, ValidationError)):
             index_config(**bad)
+
+
+def recall(spark, name, sf="sf0.001"):
+    from plumbline.plans import catalogue
+
+    d = f"/root/testdata/{sf}"
+    return catalogue._recall(catalogue.QUERIES[name](spark, d), catalogue.QUERIES["knn_cosine"](spark, d)).first()["recall"]
+
+
+def test_multiprobe_recall(spark):
+    assert recall(spark, "lsh_search_multiprobe") >= 0.9
