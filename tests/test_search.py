@@ -198,3 +198,7 @@ def recall(spark, name, sf="sf0.001"):
 
 def test_multiprobe_recall(spark):
     assert recall(spark, "lsh_search_multiprobe") >= 0.9
+
+
+def test_wide_inverted_lists_recall(spark):
+    assert recall(spark, "ivf_search_wide") >= 0.9
