@@ -7,6 +7,7 @@ Which prefix of that path is its leaf depends only on node sizes, which one aggr
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from .knn import measured, prepared, top_k
 MAX_DEPTH = 24
 #: Skeleton nodes that are sent to the workers; a larger forest is cut at the depth where it fits.
 SKELETON = 1_000_000
+#: Of all leaves, those that a query visits: a fixed number of them would find less the larger the table is.
+SHARE = 0.12
 
 
 def hyperplane(seed: int, tree: int, path: str, dims: int) -> np.ndarray:
@@ -89,8 +92,8 @@ def _walk(skeleton: list[set[str]], config: ForestConfig, dims: int, visits: int
                 left = visits
                 while heap and left:
                     _, t, path = heapq.heappop(heap)
-                    left -= 1
                     if path in skeleton[t]:
+                        left -= 1
                         rows.append(i), trees.append(t), paths.append(path)
                         continue
                     if path not in inner[t]:
@@ -111,7 +114,8 @@ def _walk(skeleton: list[set[str]], config: ForestConfig, dims: int, visits: int
 def forest_search(queries: DataFrame, data: DataFrame, placed: DataFrame, config: ForestConfig, dims: int, k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(query_id, rank, id, distance) among the rows of the leaves visited first.
 
-    At most ``search_k`` nodes (trees x leaf size by default) are visited, nearest margin first. ``placed`` should be
+    At most ``search_k`` leaves (by default trees x leaf size, or ``SHARE`` of all leaves if that is more) are visited,
+    nearest margin first; inner nodes and empty ones don't count. ``placed`` should be
     a written table. A skeleton of over ``SKELETON`` leaves is cut to the depth at which it fits: leaves below
     then count as one, which only adds candidates.
     """
@@ -128,7 +132,7 @@ def forest_search(queries: DataFrame, data: DataFrame, placed: DataFrame, config
     skeleton: list[set[str]] = [set() for _ in range(config.num_trees)]
     for r in cut.select("tree", "leaf").distinct().toLocalIterator():
         skeleton[r["tree"]].add(r["leaf"])
-    visits = config.num_trees * config.max_leaf_size if config.search_k == -1 else config.search_k
+    visits = max(config.num_trees * config.max_leaf_size, math.ceil(SHARE * sum(map(len, skeleton)))) if config.search_k == -1 else config.search_k
     q = prepared(queries, id_col, vector_col)
     visited = map_arrow(q, _walk(skeleton, config, dims, visits), f"query_id {q.schema['id'].dataType.simpleString()}, tree int, leaf string")
     pairs = visited.join(cut.select("tree", "leaf", "id"), ["tree", "leaf"]).select("query_id", "id").distinct()

@@ -360,7 +360,7 @@ def annoy_search(spark, d):
     """Best-first over a priority queue: sequential per query, so there is no SQL."""
     v = vectors(spark, d)
     config = ForestConfig()
-    return forest.forest_search(v, v, stage(forest.leaves(v, config, DIMS, 12), "leaves"), config, DIMS, K)
+    return forest.forest_search(v, v, stage(forest.leaves(v, config, DIMS), "leaves"), config, DIMS, K)
 
 
 # -- quantizers -------------------------------------------------------------------------------------

@@ -202,3 +202,7 @@ def test_multiprobe_recall(spark):
 
 def test_wide_inverted_lists_recall(spark):
     assert recall(spark, "ivf_search_wide") >= 0.9
+
+
+def test_forest_recall(spark):
+    assert recall(spark, "annoy_search", "sf0.1") >= 0.9
