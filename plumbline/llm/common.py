@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,6 +100,22 @@ def list_array(flat: pa.Array, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
 
+def discard(*used: DataFrame, path: str | None = None, spark: SparkSession | None = None) -> None:
+    """Delete written tables that nothing reads again; with a path, also let Spark drop the shuffles of jobs that have ended."""
+    paths = [path] if path else []
+    for df in used:
+        spark = df.sparkSession
+        paths += {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    if spark is None:
+        return
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path:
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 #: A side of a join is broadcast up to this many (narrow) rows, counted first; beyond, it is shuffled.
 BROADCAST_ROWS = 200_000
 

@@ -73,40 +73,75 @@ def gram_sets(texts, n=ngram_join.N):
     return out
 
 
-def test_ngram_join(docs, odd_docs, no_docs):
-    sets = gram_sets(texts_of(docs))
-    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
-    want = {p: j for p, j in want.items() if j >= ngram_join.THRESHOLD}
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.ngram_join(docs).collect()}
-    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and all(abs(got[p] - want[p]) < 1e-9 for p in got)
-    kept = {r["doc_id"] for r in ngram_join.one_per_group(docs).collect()}
-    group = {i: i for i in sets}
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
+def test_components(spark):
+    rng = random.Random(6)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7), (None, 3)]
+    df = spark.createDataFrame(pairs, "doc_a long, doc_b long")
+    groups = ngram_join.Groups(400)
+    groups.link(*np.array([p for p in pairs if None not in p]).T)
+    want = sorted((i, int(groups.label[i])) for i in {i for p in pairs if None not in p and p[0] != p[1] for i in p})
+    for few in (0, 10_000):
+        assert rows_of(ngram_join.components(df, few=few)) == sorted(want, key=repr)
+        assert ngram_join.components(df.limit(0), few=few).count() == 0
+
+
+@pytest.mark.parametrize("options", [{"hot": 1, "block_bytes": 2000}, {"task_grams": 60, "hot": 0, "block_bytes": 900}, {"threshold": 0.3, "n": 1, "groups": 8}])
+def test_ngram_join_loses_nothing(docs, options):
+    n = options.get("n", ngram_join.N)
+    texts = texts_of(docs)
+    sets = gram_sets(texts, n)
+    least, first = {}, {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+        least[i] = first[frozenset(sets[i])]
+    pairs = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
+    pairs = {p: j for p, j in pairs.items() if j >= options.get("threshold", ngram_join.THRESHOLD)}
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.ngram_pairs(docs, **options).collect()}
+    want = {p: j for p, j in pairs.items() if least[p[0]] == p[0] and least[p[1]] == p[1]}
+    assert got.keys() == want.keys() and want and all(abs(got[p] - want[p]) < 1e-9 for p in got)
+    links = Counter(i for p in pairs for i in p)
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
         return i
 
-    for a, b in got:
-        group[max(root(a), root(b))] = min(root(a), root(b))
-    assert kept == {i for i in sets if root(i) == i}
-    assert {(r["doc_a"], r["doc_b"]) for r in ngram_join.ngram_join(odd_docs).collect()} == {(1, 2)}
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    assert rows_of(ngram_join.ngram_join(docs, **options)) == sorted(((i, top(i), links[i]) for i in texts), key=repr)
+    assert sorted(r["doc_id"] for r in ngram_join.one_per_group(docs, **options).collect()) == sorted(i for i in texts if top(i) == i)
+
+
+def test_ngram_join_odd_cases(spark, odd_docs, no_docs):
+    got = rows_of(ngram_join.ngram_join(odd_docs))
+    assert got == sorted([(1, 1, 2), (2, 1, 2), (2, 1, 2), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0)], key=repr)
     assert Counter(r["doc_id"] for r in ngram_join.one_per_group(odd_docs).collect()) == Counter([1, 3, None, 4, 5, 6, 7, None])
     assert ngram_join.ngram_join(no_docs).count() == 0 and ngram_join.one_per_group(no_docs).columns == no_docs.columns
+    # one id with two texts: the copy of one of them takes nothing of the other
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    two = spark.createDataFrame([(5, a), (5, b), (9, b), (3, a + " more")], "doc_id long, text string")
+    assert rows_of(ngram_join.ngram_join(two)) == [(3, 3, 1), (5, 3, 1), (5, 5, 1), (9, 5, 1)]
+    assert rows_of(ngram_join.one_per_group(two)) == sorted([(3, a + " more"), (5, b)], key=repr)
+    # a text of one word, and unusual white space and letters
+    odd = spark.createDataFrame([(1, "Word"), (2, " word!\u2003"), (3, "naïve_x ÄÖ\u00a0ß"), (4, "NAÏVE_X äö\nSS"), (5, "naïve_x äö ß")], "doc_id long, text string")
+    assert rows_of(ngram_join.ngram_join(odd)) == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 4, 0), (5, 3, 1)]
+    # exactly the threshold: 3 of 5 grams
+    edge = spark.createDataFrame([(1, "p q r s t"), (2, "p q r s u")], "doc_id long, text string")
+    assert [r["n_links"] for r in ngram_join.ngram_join(edge).collect()] == [1, 1]
 
 
 def test_count_tree_loses_no_pair():
     rng = np.random.default_rng(0)
     base = [set(rng.integers(0, 400, rng.integers(20, 300)).tolist()) for _ in range(40)]
     sets = base + [set(list(s)[: int(len(s) * 0.8)]) | {1000 + k} for k, s in enumerate(base)]
-    points = np.zeros((len(sets), 8), np.uint8)
-    for k, s in enumerate(sets):
-        for g in s:
-            points[k, g % 8] += 1
-    tree = ngram_join.CountTree(points, np.array([len(s) for s in sets]), 4)
-    found = {tuple(sorted(p)) for a, b in tree.search(np.arange(len(sets)), 0.6) for p in zip(a.tolist(), b.tolist())}
-    want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
-    assert want and want <= found < set(itertools.combinations(range(len(sets)), 2))
+    size = np.array([len(s) for s in sets])
+    for top in (15, 255):
+        points, over = ngram_join.count_points(np.array([g << 40 for s in sets for g in s], np.uint64), size, 8, top)
+        tree = ngram_join.CountTree(points, over, size, 4)
+        found = {tuple(sorted((int(a), b))) for q, b in tree.search(np.arange(len(sets)), 0.6) for a in q}
+        want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+        assert want and want <= found < set(itertools.combinations(range(len(sets)), 2))
 
 
 # -- 3 ------------------------------------------------------------------------------------------------
