@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import ForestConfig, GraphConfig, IndexConfig, IvfConfig, LshConfig, index_config
 from .errors import IndexError_, ValidationError
-from .functions.validation import check_dimensions, check_k, require_valid
+from .functions.validation import MAX_ID, check_batch, check_dimensions, check_k, metadata_problem, require_valid
 from .operators import clusters, forest, graph, knn, lsh
 from .operators.table import VectorTable, conform
 
@@ -22,9 +22,9 @@ class Engine:
         self.spark, self.config = spark, index_config(index) if isinstance(index, str) else index
         self.table = VectorTable(spark, path, mode)
         self.dimensions = None if dimensions is None else check_dimensions(dimensions)
-        self._state: tuple[str | None, dict] | None = None
+        self._state: tuple[int, dict] | None = None
 
-    # -- rows ----------------------------------------------------------------------------------
+    # -- rows --
 
     def frame(self, vectors: list, metadata: list[dict | None] | None = None, ids: list[str] | None = None) -> DataFrame:
         import json
@@ -41,23 +41,45 @@ class Engine:
             self.dimensions = row["n"]
         return self.dimensions
 
-    def insert(self, rows: DataFrame) -> list[str]:
+    def _checked(self, rows: DataFrame) -> DataFrame:
+        """``rows``, if vectors, ids and metadata keep the rules; the table's own dimensions hold, where it has rows."""
+        if self.dimensions is None and self.table.version() > 0:
+            row = self.table.read().select(F.size("vector").alias("n")).first()
+            self.dimensions = row["n"] if row else None
+        rows = conform(rows)
         if self.dimensions is None:
             first = rows.where("vector is not null").select(F.size("vector").alias("n")).first()
-            self.dimensions = first["n"] if first else None
-        return self.table.insert(require_valid(conform(rows), self.dimensions))
+            if first:
+                self.dimensions = check_dimensions(first["n"])
+        meta = F.from_json("metadata", "map<string,string>")
+        wrong = F.coalesce(F.when((F.trim("id") == "") | (F.length("id") > MAX_ID), "bad id"), metadata_problem(meta))
+        found = rows.select("id", wrong.alias("problem")).where("problem is not null").limit(5).collect()
+        if found:
+            raise ValidationError("; ".join(f"{r['id']}: {r['problem']}" for r in found))
+        return rows
+
+    def insert(self, rows: DataFrame) -> DataFrame:
+        """Add rows, or replace those of the same id; their ids, in order."""
+        rows = self._checked(rows)
+        return self.table.insert(require_valid(rows, self.dimensions))
+
+    def insert_batch(self, vectors: list, metadata: list[dict | None] | None = None, ids: list[str] | None = None) -> list[str]:
+        """A batch from the client: at most ``MAX_BATCH`` vectors, and as many metadata and ids, if given."""
+        check_batch(len(vectors), metadata, ids)
+        return [r["id"] for r in self.insert(self.frame(vectors, metadata, ids)).collect()]
 
     def update(self, changes: DataFrame) -> DataFrame:
+        changes = self._checked(changes)
         require_valid(changes.where("vector is not null"), self.dimensions)
         return self.table.update(changes)
 
-    def delete(self, ids: list[str]) -> bool:
+    def delete(self, ids: list[str] | DataFrame) -> bool:
         return self.table.delete(ids)
 
     def get(self, ident: str) -> dict | None:
         return self.table.get(ident)
 
-    # -- search --------------------------------------------------------------------------------
+    # -- search --
 
     def _index(self) -> dict:
         """State for the table's present version; large parts are written beside it."""
@@ -112,13 +134,13 @@ class Engine:
         return hits.join(rows.select("id", "metadata"), "id").select("query_id", "rank", "id", "distance", "metadata")
 
     def search(self, query: list[float], k: int = 10, where: str | None = None) -> list[dict]:
-        """Results for one query vector, in rank order."""
+        """Results for one query vector, in rank order: rank, id, distance, similarity (1 - distance) and metadata."""
         if query is None or not len(query):
             raise ValidationError("a query vector is needed")
-        if self.table.version() is None:
+        if self.table.version() == 0:
             return []
         found = self.search_all(self.frame([query], ids=["q"]), k, where)
-        return [r.asDict() for r in found.drop("query_id").orderBy("rank").collect()]
+        return [{**r.asDict(), "similarity": 1 - r["distance"]} for r in found.drop("query_id").orderBy("rank").collect()]
 
     def stats(self) -> dict:
         row = self.table.stats().first().asDict()

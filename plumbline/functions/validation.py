@@ -71,6 +71,19 @@ def check_id(value: str) -> str:
     return value
 
 
+def check_batch(n: int, metadata: list | None = None, ids: list | None = None) -> int:
+    """1 to ``MAX_BATCH`` vectors, with as many metadata and ids, if there are any; ids are valid and differ."""
+    if not 1 <= n <= MAX_BATCH:
+        raise ValidationError(f"a batch must have 1 to {MAX_BATCH} vectors")
+    for what, own in (("metadata", metadata), ("ids", ids)):
+        if own is not None and len(own) != n:
+            raise ValidationError(f"{len(own)} {what} for {n} vectors")
+    named = [check_id(i) for i in ids or [] if i is not None]
+    if len(set(named)) < len(named):
+        raise ValidationError("an id is given twice")
+    return n
+
+
 def check_name(value: str) -> str:
     if not 3 <= len(value or "") <= 64 or not _NAME.match(value):
         raise ValidationError(f"not a valid name: {value!r}")

@@ -1,16 +1,19 @@
 """A table of (id, vector, metadata) as immutable Parquet versions.
 
 Every change is a join that gives the next version; readers keep the one they have. A version counts once its
-``CURRENT`` entry is written, so a job that dies half way leaves the table as it was. Metadata is
-JSON text.
+number's entry is written, so a job that dies half way leaves the table as it was. An entry is created exclusively, under
+the number after the version that the change was made from: of two writers that start from the same version
+one fails with a StorageError, and none is lost. Metadata is JSON text.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -18,9 +21,11 @@ from pyspark.storagelevel import StorageLevel
 from ..errors import StorageError, ValidationError
 
 SCHEMA = "id string, vector array<double>, metadata string"
+#: An entry of a version that is still empty after so long belongs to a writer that died.
+STALE_MS = 60_000
 
 
-# -- changes as functions of DataFrames -----------------------------------------------------------
+# -- changes as functions of DataFrames --
 
 
 def conform(rows: DataFrame) -> DataFrame:
@@ -72,11 +77,20 @@ def keyset_page(base: DataFrame, size: int, cursor=None, id_col: str = "id") ->
 
 
 def offset_page(base: DataFrame, page: int = 1, size: int = 20, id_col: str = "id") -> DataFrame:
-    """Page ``page`` (from 1) of at most 100 rows in id order."""
+    """Page ``page`` (from 1) of rows in id order; a size above 100 counts as 100."""
     size = min(100, max(1, size))
     return base.orderBy(id_col).offset((max(1, page) - 1) * size).limit(size)
 
 
+def page_info(base: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
+    """One row about an offset page: page, size, rows and pages in all, and whether there are pages after and before it."""
+    page, size = max(1, page), min(100, max(1, size))
+    pages = F.ceil(F.col("total") / size).cast("bigint")
+    return base.agg(F.count("*").alias("total")).select(
+        F.lit(page).alias("page"), F.lit(size).alias("size"), "total", pages.alias("pages"), (pages > page).alias("has_next"), F.lit(page > 1).alias("has_previous")
+    )
+
+
 def storage_stats(base: DataFrame, vector_col: str = "vector", metadata_col: str | None = "metadata") -> DataFrame:
     """One row: vectors, bytes (8 per component and the metadata's) and the range of dimensions."""
     extra = F.coalesce(F.octet_length(F.col(metadata_col)), F.lit(0)) if metadata_col else F.lit(0)
@@ -86,49 +100,76 @@ def storage_stats(base: DataFrame, vector_col: str = "vector", metadata_col: str
     )
 
 
-# -- the table ------------------------------------------------------------------------------------
+# -- the table --
 
 
 @dataclass
 class VectorTable:
-    """A versioned table under ``path``; ``mode``: disk, memory (cached) or hybrid (read through a cache)."""
+    """A versioned table under ``path``; ``mode``: disk, memory (cached) or hybrid (cached up to ``cache_bytes`` of files,
+    read from disk beyond)."""
 
     spark: SparkSession
     path: str
     mode: str = "disk"
+    cache_bytes: int = 1 << 30
 
     def __post_init__(self):
-        self._cached: tuple[str, DataFrame] | None = None
+        self._cached: tuple[int, DataFrame] | None = None
+        self.hits = self.misses = 0
 
     def _fs(self):
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> str | None:
+    def _entries(self) -> list[str]:
         fs, path_of = self._fs()
         log = path_of(f"{self.path}/_versions")
-        if not fs.exists(log):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(log))
-        return names[-1].split("-", 1)[1] if names else None
+        return sorted(s.getPath().getName() for s in fs.listStatus(log) if s.getLen()) if fs.exists(log) else []
 
-    def _versions(self) -> int:
-        fs, path_of = self._fs()
-        log = path_of(f"{self.path}/_versions")
-        return len(fs.listStatus(log)) if fs.exists(log) else 0
+    def version(self) -> int:
+        """Number of the present version; 0 before the first."""
+        entries = self._entries()
+        return int(entries[-1]) if entries else 0
 
-    def read(self) -> DataFrame:
-        now = self.version()
-        if now is None:
+    def _folder(self, version: int) -> str:
+        return self.spark.read.text(f"{self.path}/_versions/{version:09d}").first()[0]
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, by default the present one."""
+        now = self.version() if version is None else version
+        if now == 0:
             return self.spark.createDataFrame([], SCHEMA)
-        if self.mode == "disk":
-            return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{now}")
-        if self._cached is None or self._cached[0] != now:
-            self.forget()
-            self._cached = now, self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{now}").persist(StorageLevel.MEMORY_AND_DISK)
+        if self.mode != "disk" and self._cached is not None and self._cached[0] == now:
+            self.hits += 1
+            return self._cached[1]
+        rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{self._folder(now)}")
+        if self.mode == "disk" or self.mode == "hybrid" and self._bytes(now) > self.cache_bytes:
+            self.misses += self.mode != "disk"
+            return rows
+        self.forget()
+        self.misses += 1
+        self._cached = now, rows.persist(StorageLevel.MEMORY_AND_DISK)
         return self._cached[1]
 
+    def _bytes(self, version: int) -> int:
+        fs, path_of = self._fs()
+        return fs.getContentSummary(path_of(f"{self.path}/{self._folder(version)}")).getLength()
+
+    def cache_stats(self) -> dict:
+        """Readings from the cache and past it, and the share of the former; 0 before the first."""
+        total = self.hits + self.misses
+        return {"hits": self.hits, "misses": self.misses, "hit_rate": self.hits / total if total else 0.0, "cached": self._cached is not None}
+
+    def disk_stats(self) -> dict:
+        """Bytes and files of the present version."""
+        now = self.version()
+        if now == 0:
+            return {"version": 0, "bytes": 0, "files": 0}
+        fs, path_of = self._fs()
+        summary = fs.getContentSummary(path_of(f"{self.path}/{self._folder(now)}"))
+        return {"version": now, "bytes": summary.getLength(), "files": summary.getFileCount()}
+
     def forget(self) -> None:
         """Drop the cached reading."""
         if self._cached:
@@ -140,41 +181,49 @@ class VectorTable:
         rows = self.read()
         return (rows if ids is None else rows.where(F.col("id").isin(ids))).count()
 
-    def commit(self, rows: DataFrame) -> str:
-        """Write the next version; two writers that start from the same one can't both succeed."""
-        number, name = self._versions(), f"v{uuid.uuid4().hex}"
+    def commit(self, rows: DataFrame, base: int | None = None) -> int:
+        """Write the version after ``base``, the version that ``rows`` were made from (by default the present one)."""
+        base = self.version() if base is None else base
+        name = f"v{uuid.uuid4().hex}"
         rows.select("id", "vector", "metadata").write.parquet(f"{self.path}/{name}")
         fs, path_of = self._fs()
         fs.mkdirs(path_of(f"{self.path}/_versions"))
-        if self._versions() != number or not fs.createNewFile(path_of(f"{self.path}/_versions/{number:09d}-{name}")):
-            raise StorageError("the table has changed meanwhile")
-        return name
-
-    def insert(self, rows: DataFrame) -> list[str]:
-        """Add rows, or replace those of the same id; their ids, in order."""
-        base = f"{self.path}/incoming-{uuid.uuid4().hex}"
+        entry = path_of(f"{self.path}/_versions/{base + 1:09d}")
+        if fs.exists(entry) and (old := fs.getFileStatus(entry)).getLen() == 0 and time.time() * 1000 - old.getModificationTime() > STALE_MS:
+            fs.delete(entry, False)  # of a writer that died between creating and filling it
+        try:
+            out = fs.create(entry, False)
+        except Py4JJavaError as e:
+            fs.delete(path_of(f"{self.path}/{name}"), True)
+            raise StorageError("the table has changed meanwhile") from e
+        out.write(bytearray(name.encode()))
+        out.close()
+        return base + 1
+
+    def insert(self, rows: DataFrame) -> DataFrame:
+        """Add rows, or replace those of the same id; their ids (one column), in order."""
+        base, now = f"{self.path}/incoming-{uuid.uuid4().hex}", self.version()
         conform(rows).write.parquet(base)  # drawn ids are settled here, once
         settled = self.spark.read.schema(SCHEMA).parquet(base)
-        self.commit(upsert(self.read(), settled))
-        ids = [r["id"] for r in settled.select("id").orderBy("id").toLocalIterator()]
-        fs, path_of = self._fs()
-        fs.delete(path_of(base), True)
-        return ids
+        self.commit(upsert(self.read(now), settled), now)
+        return settled.select("id").orderBy("id")
 
     def update(self, changes: DataFrame) -> DataFrame:
         """Apply (id, vector, metadata) changes; (id, updated) of each."""
-        rows, changes = self.read(), conform(changes)
+        now = self.version()
+        rows, changes = self.read(now), conform(changes)
         flags = update_flags(rows, changes)
-        self.commit(update(rows, changes))
+        self.commit(update(rows, changes), now)
         return flags
 
-    def delete(self, ids: list[str]) -> bool:
+    def delete(self, ids: list[str] | DataFrame) -> bool:
         """Whether all of them were there; the others go either way."""
-        gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        rows = self.read()
-        found = rows.join(F.broadcast(gone.distinct()), "id", "left_semi").count()
-        self.commit(delete(rows, gone))
-        return found == len(set(ids))
+        gone = ids.select(F.col("id").cast("string").alias("id")) if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string")
+        gone, now = gone.distinct(), self.version()
+        rows = self.read(now)
+        found, asked = rows.join(gone, "id", "left_semi").count(), gone.count()
+        self.commit(delete(rows, gone), now)
+        return found == asked
 
     def get(self, ident: str) -> dict | None:
         """A row by its id: the predicate reaches the Parquet scan."""

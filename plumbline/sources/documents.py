@@ -121,7 +121,7 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     return map_arrow(own, run, f"`{id_col}` {own.schema[id_col].dataType.simpleString()}, text string, title string, h1 array<string>, links int, images int, language string, characters int, words int, meta map<string,string>")
 
 
-# -- office formats: zip archives of XML -----------------------------------------------------------
+# -- office formats: zip archives of XML --
 
 
 def _texts(xml: bytes, tag: str) -> list[str]:
@@ -165,42 +165,66 @@ def parse_office(data: bytes, kind: str) -> str:
         raise ParsingError(f"not a {kind} file: {e}") from e
 
 
-def parse_pdf(data: bytes) -> str:
-    """Text of a PDF, where a PDF library is installed."""
+def office_properties(data: bytes) -> dict[str, str]:
+    """Title, author and the like, from the archive's core properties; empty where there are none."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            root = ElementTree.fromstring(z.read("docProps/core.xml"))
+    except (KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+        return {}
+    return {e.tag.rsplit("}", 1)[-1]: e.text for e in root if e.text}
+
+
+def parse_pdf(data: bytes) -> tuple[str, dict[str, str]]:
+    """Text of a PDF, number of pages and what it says about itself, where a PDF library is installed."""
     try:
         from pypdf import PdfReader
     except ImportError as e:
         raise ParsingError("reading PDF needs the pypdf package") from e
-    return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages)
+    reader = PdfReader(io.BytesIO(data))
+    about = {str(k).lstrip("/").lower(): str(v) for k, v in (reader.metadata or {}).items() if v}
+    return "\n".join(p.extract_text() or "" for p in reader.pages), {"pages": str(len(reader.pages)), **about}
+
+
+def text_figures(text: str) -> dict[str, str]:
+    """Characters, words and lines; 0 lines for the empty text."""
+    return {"characters": str(len(text)), "words": str(len(text.split())), "lines": str(text.count("\n") + 1 if text else 0)}
 
 
-def parse_file(name: str, data: bytes) -> str:
+def parse_file(name: str, data: bytes) -> tuple[str, dict[str, str]]:
+    """Text of a file, by its extension, and what the parser knows about it."""
     kind = name.rsplit(".", 1)[-1].lower()
     if kind in TEXT:
-        return data.decode("utf-8", "replace")
-    if kind in HTML:
-        return parse_html(data.decode("utf-8", "replace"))["text"]
-    if kind in OFFICE:
-        return parse_office(data, kind)
-    if kind == "pdf":
-        return parse_pdf(data)
-    raise ParsingError(f"no parser for .{kind}")
+        text, about = data.decode("utf-8", "replace"), {}
+    elif kind in HTML:
+        page = parse_html(data.decode("utf-8", "replace"))
+        text = page["text"]
+        about = {**page["meta"], **{n: str(page[n]) for n in ("title", "links", "images", "language") if page[n] is not None}}
+    elif kind in OFFICE:
+        text, about = parse_office(data, kind), office_properties(data)
+    elif kind == "pdf":
+        text, about = parse_pdf(data)
+    else:
+        raise ParsingError(f"no parser for .{kind}")
+    return text, {**about, **text_figures(text), "type": kind}
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, filename, bytes, text, error) of all files under ``path``. A file that can't be parsed has its error and no text;
-    the others go on."""
+    """(doc_id, filename, bytes, text, metadata, error) of all files under ``path``; metadata is a map of strings. A file that can't be parsed
+    has its error, no text and no metadata; the others go on."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, errors = [], []
+            texts, abouts, errors = [], [], []
             for name, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 try:
-                    texts.append(parse_file(name, data)), errors.append(None)
+                    text, about = parse_file(name, data)
+                    texts.append(text), abouts.append(list(about.items())), errors.append(None)
                 except ParsingError as e:
-                    texts.append(None), errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "bytes", "text", "error"])
+                    texts.append(None), abouts.append(None), errors.append(str(e))
+            kinds = pa.string(), pa.map_(pa.string(), pa.string()), pa.string()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, t) for x, t in zip((texts, abouts, errors), kinds)]], ["path", "bytes", "text", "metadata", "error"])
 
-    parsed = map_arrow(files, run, "path string, bytes bigint, text string, error string")
-    return parsed.select(F.md5("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "bytes", "text", "error")
+    parsed = map_arrow(files, run, "path string, bytes bigint, text string, metadata map<string,string>, error string")
+    return parsed.select(F.md5("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "bytes", "text", "metadata", "error")

@@ -95,6 +95,10 @@ def save_snapshot(rows: DataFrame, path: str, state: dict | None = None, compres
 
 
 def load_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """Rows and state; a snapshot that isn't there is an empty one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/vectors")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "id string, vector array<double>, metadata string"), {}
     state = spark.read.text(f"{path}/state").first()
     return spark.read.parquet(f"{path}/vectors"), json.loads(state["value"]) if state else {}
 
