@@ -5,16 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import ValidationError
+from ..shared import broadcast_if_small, stage
 from ..workers import map_arrow
 
 
-# -- tokens and counts --------------------------------------------------------------------------
+# -- tokens and counts --
 
 
 def tokenize(text: Column) -> Column:
@@ -41,7 +44,7 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.length(t), F.lit(0)).alias("characters"), word_count(t).alias("words"), line_count(t).alias("lines"))
 
 
-# -- chunking -------------------------------------------------------------------------------------
+# -- chunking --
 
 
 def chunk_fixed(docs: DataFrame, size: int = 500, overlap: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,38 +159,159 @@ def chunk_paragraphs(docs: DataFrame, size: int = 2000, overlap: int = 0, least:
     return _chunked(docs, lambda t: paragraph_chunks(t, size, overlap, least), id_col, text_col)
 
 
-# -- TF-IDF ---------------------------------------------------------------------------------------
+# -- TF-IDF --
 
 
-def _frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, term, n, total): total counts all tokens, an empty first one included."""
-    tokens = tokenize(F.col(f"`{text_col}`"))
-    own = docs.select(F.col(f"`{id_col}`").alias("doc"), tokens.alias("t")).select("doc", F.size("t").alias("total"), F.explode("t").alias("term"))
-    return own.where("term <> ''").groupBy("doc", "term").agg(F.count("*").alias("n"), F.first("total").alias("total"))
+def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    own = docs.select(F.col(f"`{id_col}`").alias("doc"), tokenize(F.col(f"`{text_col}`")).alias("t"))
+    return own.where("t is not null")
+
+
+def _counted(tokens: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of a batch; row, term and count of each term of each row, by row; and all tokens of each row, an empty first one included."""
+    size = np.asarray(pc.list_value_length(tokens), np.int64)
+    encoded = tokens.flatten().dictionary_encode()
+    terms = encoded.dictionary.to_pylist()
+    code = np.asarray(encoded.indices, np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    key, count = np.unique(row * max(1, len(terms)) + code, return_counts=True)
+    row, code = key // max(1, len(terms)), key % max(1, len(terms))
+    real = np.array([t != "" for t in terms], bool)[code] if terms else np.zeros(0, bool)
+    return terms, row[real], code[real], count[real], size
+
+
+def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        terms, _, code, count, _ = _counted(b.column(0))
+        n, df = np.bincount(code, count, len(terms)).astype(np.int64), np.bincount(code, minlength=len(terms))
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([terms[k] for k in seen], pa.string()), pa.array(n[seen]), pa.array(df[seen])], ["term", "n", "df"])
 
 
 def tfidf_vocabulary(docs: DataFrame, size: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, n, df, idf) of the ``size`` most frequent terms, ties by term; idf is ln(documents / df)."""
+    """(term, n, df, idf) of the ``size`` most frequent terms, ties by term; idf is ln(documents / df). Every row is a document.
+
+    Rows are counted batch by batch; only terms and their sums are shuffled."""
     total = docs.agg(F.count("*").alias("docs"))
-    terms = _frequencies(docs, id_col, text_col).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+    terms = map_arrow(_tokens(docs, id_col, text_col).select("t"), _corpus_counts, "term string, n bigint, df bigint")
+    terms = terms.groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     return terms.orderBy(F.desc("n"), "term").limit(size).crossJoin(F.broadcast(total)).select("term", "n", "df", F.log(F.col("docs") / F.col("df")).alias("idf"))
 
 
+class TfidfModel:
+    """A vocabulary on the driver: its size is a parameter, whatever the corpus."""
+
+    def __init__(self, vocabulary: DataFrame):
+        rows = vocabulary.select("term", "idf").orderBy("term").collect()
+        self.terms = [r["term"] for r in rows]
+        self.idf = np.array([r["idf"] for r in rows], np.float64)
+        self.number = {t: k for k, t in enumerate(self.terms)}
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def weights(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term number and weight of all weights of a batch that aren't zero."""
+        terms, row, code, count, size = _counted(tokens)
+        number = np.fromiter((self.number.get(t, -1) for t in terms), np.int64, len(terms))[code] if terms else np.zeros(0, np.int64)
+        known = number >= 0
+        known[known] = self.idf[number[known]] != 0
+        row, number, count = row[known], number[known], count[known]
+        w = count / size[row] * self.idf[number]
+        norm = np.sqrt(np.bincount(row, w * w, len(size)))[row]
+        kept = norm >= 1e-10
+        return row[kept], number[kept], w[kept] / norm[kept]
+
+    def sparse(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(doc, terms, weights) of every document with a weight, in the row: nothing is shuffled."""
+        own = _tokens(docs, id_col, text_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                row, number, w = self.weights(b.column(1))
+                rows, first = np.unique(row, return_index=True)
+                ends = pa.array(np.append(first, len(row)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.ListArray.from_arrays(ends, pa.array(number.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(w))], ["doc", "terms", "weights"])
+
+        return map_arrow(own, run, f"doc {own.schema['doc'].dataType.simpleString()}, terms array<int>, weights array<double>")
+
+    def dense(self, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+        """(id, vector) of every row, in the order of the terms; zeros where a text has no weight."""
+        own = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(tokenize(F.col(f"`{text_col}`")), F.array().cast("array<string>")).alias("t"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 512):
+                    part = b.slice(at, 512)
+                    row, number, w = self.weights(part.column(1))
+                    full = np.zeros((part.num_rows, len(self)))
+                    full[row, number] = w
+                    ends = pa.array((np.arange(part.num_rows + 1) * len(self)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(full.ravel()))], ["id", "vector"])
+
+        return map_arrow(own, run, f"id {own.schema['id'].dataType.simpleString()}, vector array<double>")
+
+
 def tfidf_weights(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, term, weight): frequency in the document by its length, times idf, to unit length. Terms that aren't in the
-    vocabulary count in the length alone. Zero weights, and documents without any weight, give no rows."""
-    # the vocabulary's size is a parameter, so it may be broadcast whatever the corpus
-    raw = _frequencies(docs, id_col, text_col).join(F.broadcast(vocabulary.select("term", "idf")), "term").where("idf <> 0")
-    raw = raw.select("doc", "term", (F.col("n") / F.col("total") * F.col("idf")).alias("w"))
-    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
-    return raw.withColumn("size", size).where("size >= 1e-10").select("doc", "term", (F.col("w") / F.col("size")).alias("weight"))
-
-
-def sparse_knn(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, id, similarity): cosine of sparse unit rows (doc, term, weight), by a join on the term. Pairs without a
-    common term are not candidates."""
-    q = queries.select(F.col("doc").alias("query_id"), "term", F.col("weight").alias("wq"))
-    pairs = q.join(data.select(F.col("doc").alias("id"), "term", "weight"), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("wq") * F.col("weight")), 6).alias("similarity"))
+    vocabulary count in the length alone. Zero weights, and documents without any weight, give no rows. Every row is a document."""
+    model = TfidfModel(vocabulary)
+    own = _tokens(docs, id_col, text_col)
+    names = pa.array(model.terms, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, number, w = model.weights(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), names.take(pa.array(number)), pa.array(w)], ["doc", "term", "weight"])
+
+    return map_arrow(own, run, f"doc {own.schema['doc'].dataType.simpleString()}, term string, weight double")
+
+
+def _sparse_blocks(rows: int):
+    """Blocks (ids, terms, weights, sizes) of sparse rows."""
+
+    def block(part: pa.RecordBatch) -> pa.RecordBatch:
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        return pa.RecordBatch.from_arrays([one(part.column(0)), one(part.column(1).flatten()), one(part.column(2).flatten()), one(pc.list_value_length(part.column(1)))], ["ids", "terms", "weights", "sizes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield block(b.slice(at, rows))
+
+    return run
+
+
+def sparse_top_k(queries: DataFrame, data: DataFrame, k: int, terms: int) -> DataFrame:
+    """(query_id, rank, id, similarity): the k rows of greatest cosine for each query, both as (doc, terms, weights) rows of
+    unit length over ``terms`` terms. Pairs without a common term are not candidates; ties go by id.
+
+    Blocks of queries meet blocks of rows, no term is a join key, and k rows a query leave a meeting."""
+    kinds = [x.schema["doc"].dataType.simpleString() for x in (queries, data)]
+    fields = "ids array<{}>, terms array<int>, weights array<double>, sizes array<int>"
+    q = map_arrow(queries, _sparse_blocks(256), fields.format(kinds[0])).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "terms", "weights", "sizes")])
+    p = map_arrow(data, _sparse_blocks(4096), fields.format(kinds[1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                q_ids, q_terms, q_weights, q_sizes, ids, number, weights, sizes = (b.column(c)[i].values for c in range(8))
+                full = np.zeros((terms, len(q_ids)))
+                full[np.asarray(q_terms), np.repeat(np.arange(len(q_ids)), np.asarray(q_sizes))] = np.asarray(q_weights)
+                number, weights, sizes = np.asarray(number), np.asarray(weights), np.asarray(sizes, np.int64)
+                starts = np.cumsum(sizes) - sizes
+                found = np.empty((len(ids), len(q_ids)))
+                for at in range(0, len(ids), 128):
+                    a, e = starts[at], starts[min(at + 128, len(ids)) - 1] + sizes[min(at + 128, len(ids)) - 1]
+                    found[at : at + 128] = np.add.reduceat(full[number[a:e]] * weights[a:e, None], starts[at : at + 128] - a, axis=0)
+                shown = np.round(found, 6)
+                order = np.argsort(np.array(ids.to_pylist()), kind="stable")
+                best = order[np.argsort(-shown[order], axis=0, kind="stable")[:k]]
+                c, r = best.ravel(), np.tile(np.arange(len(q_ids)), len(best))
+                hit = found[c, r] > 0
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(r[hit])), ids.take(pa.array(c[hit])), pa.array(shown[c, r][hit] + 0.0)], ["query_id", "id", "similarity"])
+
+    pairs = map_arrow(q.crossJoin(p), run, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 
@@ -195,6 +319,8 @@ def sparse_knn(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
 def retrieve(docs: DataFrame, questions: DataFrame, k: int = 3, size: int = 512, overlap: int = 128, vocabulary_size: int = 10_000, id_col: str = "doc_id", text_col: str = "text", question_id: str = "item_id", question_text: str = "text") -> DataFrame:
     """Chunk, embed and search: the k chunks most similar to each question, with a preview of 200 characters."""
     chunks = chunk_fixed(docs, size, overlap, id_col, text_col).select(F.concat_ws("_", id_col, "chunk_index").alias("chunk_id"), "chunk")
-    vocabulary = tfidf_vocabulary(chunks, vocabulary_size, "chunk_id", "chunk")
-    hits = sparse_knn(tfidf_weights(questions, vocabulary, question_id, question_text), tfidf_weights(chunks, vocabulary, "chunk_id", "chunk"), k)
-    return hits.join(chunks.select(F.col("chunk_id").alias("id"), F.substring("chunk", 1, 200).alias("preview")), "id").select("query_id", "rank", F.col("id").alias("chunk_id"), "similarity", "preview")
+    model = TfidfModel(tfidf_vocabulary(chunks, vocabulary_size, "chunk_id", "chunk"))
+    hits = sparse_top_k(model.sparse(questions, question_id, question_text), model.sparse(chunks, "chunk_id", "chunk"), k, len(model))
+    # k rows a question; the chunks' texts stay where they are if these are few
+    hits = broadcast_if_small(stage(hits, "hits"))
+    return chunks.select(F.col("chunk_id").alias("id"), F.substring("chunk", 1, 200).alias("preview")).join(hits, "id").select("query_id", "rank", F.col("id").alias("chunk_id"), "similarity", "preview")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -34,3 +35,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A side of a join is broadcast up to this many narrow rows, counted first; beyond, it is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(staged: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``staged`` (a written, narrow table) with a broadcast hint if its counted rows allow it."""
+    return F.broadcast(staged) if staged.count() <= most else staged
