@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import IvfConfig
-from ..errors import IndexError_
-from ..functions.metrics import block_distance, distance
+from ..errors import IndexError_, ValidationError
+from ..functions.metrics import block_distance
 from ..workers import map_arrow
-from .knn import DECIMALS, measured, prepared, top_k
+from .knn import DECIMALS, group_search, prepared
 
 Centroids = Sequence[Sequence[float]]
 
@@ -23,17 +23,33 @@ def literal(rows: Centroids) -> Column:
     return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in rows])
 
 
-def nearest(vec: Column, centroids: Centroids, metric: str) -> Column:
-    """Number of the nearest centroid; the lowest one on a tie. A row expression: nothing is shuffled."""
-    ranked = F.transform(literal(centroids), lambda c, i: F.struct(F.round(distance(metric, vec, c), DECIMALS).alias("d"), i.alias("i")))
-    return F.array_min(ranked)["i"]
+def _ranked(centroids: Centroids, probes: int, metric: str):
+    """The numbers of the ``probes`` nearest centroids of each vector; the lower one first on a tie."""
+    centres, block = np.array(centroids, np.float64), block_distance(metric)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
+            if x.shape[1] != centres.shape[1]:
+                raise ValidationError(f"vectors of length {x.shape[1]} and {centres.shape[1]}")
+            near = np.concatenate([np.argsort(np.round(block(x[k : k + 4096], centres), DECIMALS), axis=1, kind="stable")[:, :probes] for k in range(0, len(x), 4096)])
+            at = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel().astype(np.int32))], ["id", "vec", "cluster_id"])
 
-def assign(data: DataFrame, centroids: Centroids, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """(id, vec, cluster_id) of every row: the inverted lists, to be written partitioned by cluster_id."""
+    return run
+
+
+def _with_clusters(own: DataFrame, centroids: Centroids, probes: int, metric: str) -> DataFrame:
     if not centroids:
         raise IndexError_("the index is not trained")
-    return prepared(data, id_col, vector_col).withColumn("cluster_id", nearest(F.col("vec"), centroids, metric))
+    return map_arrow(own, _ranked(centroids, probes, metric), f"id {own.schema['id'].dataType.simpleString()}, vec array<double>, cluster_id int")
+
+
+def assign(data: DataFrame, centroids: Centroids, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(id, vec, cluster_id) of every row: the inverted lists, to be written partitioned by cluster_id. The lowest number counts on a tie; nothing is shuffled."""
+    return _with_clusters(prepared(data, id_col, vector_col), centroids, 1, metric)
 
 
 def cluster_stats(assigned: DataFrame) -> DataFrame:
@@ -45,19 +61,14 @@ def cluster_stats(assigned: DataFrame) -> DataFrame:
 
 
 def probe(queries: DataFrame, centroids: Centroids, probes: int, metric: str) -> DataFrame:
-    """(query_id, q, cluster_id): each query with its ``probes`` nearest clusters."""
-    ranked = F.array_sort(F.transform(literal(centroids), lambda c, i: F.struct(F.round(distance(metric, F.col("vec"), c), DECIMALS).alias("d"), i.alias("i"))))
-    return queries.select(F.col("id").alias("query_id"), F.col("vec").alias("q"), F.explode(F.slice(ranked, 1, probes)).alias("c")).select("query_id", "q", F.col("c.i").alias("cluster_id"))
+    """(query_id, q, cluster_id): each query of an (id, vec) table with its ``probes`` nearest clusters."""
+    return _with_clusters(queries, centroids, probes, metric).select(F.col("id").alias("query_id"), F.col("vec").alias("q"), "cluster_id")
 
 
 def ivf_search(queries: DataFrame, assigned: DataFrame, centroids: Centroids, k: int, probes: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """(query_id, rank, id, distance) among the rows of the probed clusters.
-
-    One equi-join on the cluster; lists written partitioned by it are pruned at the scan.
-    """
+    """(query_id, rank, id, distance) among the rows of the probed clusters: one matrix product for a list and the queries that probe it."""
     probed = probe(prepared(queries, id_col, vector_col), centroids, probes, metric)
-    pairs = probed.join(assigned.select("cluster_id", "id", "vec"), "cluster_id")
-    return top_k(measured(pairs, metric), k).select("query_id", "rank", "id", "distance")
+    return group_search(probed, assigned.select("cluster_id", "id", "vec"), ["cluster_id"], k, metric)
 
 
 def _step(centroids: np.ndarray, metric: str):

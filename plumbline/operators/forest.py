@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 
 from ..config import ForestConfig
 from ..errors import IndexError_
+from ..shared import stage
 from ..workers import map_arrow
-from .knn import measured, prepared, top_k
+from .knn import group_search, prepared
 
-MAX_DEPTH = 24
+#: Levels that a round of the build goes down.
+STEP = 6
 #: Skeleton nodes that are sent to the workers; a larger forest is cut at the depth where it fits.
 SKELETON = 1_000_000
 #: Of all leaves, those that a query visits: a fixed number of them would find less the larger the table is.
@@ -35,40 +38,62 @@ def hyperplane(seed: int, tree: int, path: str, dims: int) -> np.ndarray:
 
 
 def _paths(config: ForestConfig, dims: int, depth: int):
+    """(tree, full, id): the paths of rows (id, vec, paths), of which a null one is at its end, followed down to ``depth``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, dims)
+            known = np.array(b.column(2).to_pylist(), object).reshape(len(x), config.num_trees)
             for tree in range(config.num_trees):
-                paths = np.full(len(x), "", dtype=f"<U{depth}")
-                todo = [("", np.arange(len(x)))]
+                at = {}
+                for row, path in enumerate(known[:, tree]):
+                    if path is not None:
+                        at.setdefault(path, []).append(row)
+                rows, full = [], []
+                todo = [(path, np.array(own)) for path, own in at.items()]
                 while todo:
-                    path, rows = todo.pop()
-                    if len(path) == depth or not len(rows):
+                    path, own = todo.pop()
+                    if len(path) == depth:
+                        rows.append(own), full.extend([path] * len(own))
                         continue
-                    right = x[rows] @ hyperplane(config.seed, tree, path, dims) >= 0
-                    for bit, own in (("0", rows[~right]), ("1", rows[right])):
-                        paths[own] = path + bit
-                        todo.append((path + bit, own))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(paths.tolist()), b.column(0)], ["tree", "full", "id"])
+                    right = x[own] @ hyperplane(config.seed, tree, path, dims) >= 0
+                    todo += [(path + bit, part) for bit, part in (("0", own[~right]), ("1", own[right])) if len(part)]
+                rows = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), tree, np.int32)), pa.array(full, pa.string()), b.column(0).take(rows)], ["tree", "full", "id"])
 
     return run
 
 
-def leaves(data: DataFrame, config: ForestConfig, dims: int, depth: int = MAX_DEPTH, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def leaves(data: DataFrame, config: ForestConfig, dims: int, depth: int | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(tree, path, id): the leaf of every row in every tree.
 
-    A node is a leaf if it has at most ``max_leaf_size`` rows, if all of them are on one side, or at ``depth``.
+    A node is a leaf if it has at most ``max_leaf_size`` rows, if all of them are on one side of its plane, or at ``depth``, if that is given.
+    ``STEP`` levels are gone down at a time, by the rows whose leaf isn't found yet.
     """
     own = prepared(data, id_col, vector_col)
-    full = map_arrow(own, _paths(config, dims, depth), f"tree int, full string, id {own.schema['id'].dataType.simpleString()}")
-    prefixes = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda n: F.substring(F.col("full"), F.lit(1), n))
-    sizes = full.select("tree", F.explode(prefixes).alias("path")).groupBy("tree", "path").agg(F.count("*").alias("n"))
-    # a child as large as its parent has an empty brother
-    parents = sizes.select("tree", F.col("path").alias("child"), F.col("n").alias("child_n"), F.substring("path", F.lit(1), F.length("path") - 1).alias("path")).where("child <> ''")
-    lone = sizes.join(parents.groupBy("tree", "path").agg(F.max("child_n").alias("larger")), ["tree", "path"], "left")
-    stops = lone.where((F.col("n") <= config.max_leaf_size) | (F.col("larger") == F.col("n")) | (F.length("path") == depth)).select("tree", "path")
-    steps = full.select("tree", "id", F.explode(prefixes).alias("path")).join(stops, ["tree", "path"])
-    return steps.groupBy("tree", "id").agg(F.min_by("path", F.length("path")).alias("path")).select("tree", "path", "id")
+    kind = own.schema["id"].dataType.simpleString()
+    state = own.withColumn("paths", F.array_repeat(F.lit(""), config.num_trees))
+    found, base = [], 0
+    while True:
+        to = base + STEP if depth is None else min(depth, base + STEP)
+        full = stage(map_arrow(state.select("id", "vec", "paths"), _paths(config, dims, to), f"tree int, full string, id {kind}"), "paths")
+        prefixes = F.transform(F.sequence(F.lit(base), F.lit(to)), lambda n: F.substring(F.col("full"), F.lit(1), n))
+        sizes = full.select("tree", F.explode(prefixes).alias("path")).groupBy("tree", "path").agg(F.count("*").alias("n"))
+        # a child as large as its parent has an empty brother
+        parents = sizes.select("tree", F.col("n").alias("child_n"), F.substring("path", F.lit(1), F.length("path") - 1).alias("path"), F.length("path").alias("l")).where(F.col("l") > base)
+        lone = sizes.join(parents.groupBy("tree", "path").agg(F.max("child_n").alias("larger")), ["tree", "path"], "left")
+        ends = (F.col("n") <= config.max_leaf_size) | F.coalesce(F.col("larger") == F.col("n"), F.lit(False))
+        if to == depth:
+            ends = ends | (F.length("path") == to)
+        steps = full.select("tree", "id", "full", F.explode(prefixes).alias("path")).join(lone.where(ends).select("tree", "path"), ["tree", "path"])
+        done = stage(steps.groupBy("tree", "id").agg(F.min_by("path", F.length("path")).alias("path")).select("tree", "path", "id"), "leaves")
+        found.append(done)
+        rest = stage(full.join(done, ["tree", "id"], "left_anti"), "deeper")
+        if to == depth or rest.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        open_paths = rest.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tree", "full"))).alias("m"))
+        paths = F.transform(F.sequence(F.lit(0), F.lit(config.num_trees - 1)), lambda t: F.try_element_at("m", t))
+        state, base = own.join(open_paths, "id").withColumn("paths", paths), to
 
 
 def tree_stats(placed: DataFrame) -> DataFrame:
@@ -135,6 +160,6 @@ def forest_search(queries: DataFrame, data: DataFrame, placed: DataFrame, config
     visits = max(config.num_trees * config.max_leaf_size, math.ceil(SHARE * sum(map(len, skeleton)))) if config.search_k == -1 else config.search_k
     q = prepared(queries, id_col, vector_col)
     visited = map_arrow(q, _walk(skeleton, config, dims, visits), f"query_id {q.schema['id'].dataType.simpleString()}, tree int, leaf string")
-    pairs = visited.join(cut.select("tree", "leaf", "id"), ["tree", "leaf"]).select("query_id", "id").distinct()
-    full = pairs.join(q.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id").join(prepared(data, id_col, vector_col), "id")
-    return top_k(measured(full, config.metric), k).select("query_id", "rank", "id", "distance")
+    asked = visited.join(q.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id")
+    listed = cut.select("tree", "leaf", "id").join(prepared(data, id_col, vector_col), "id")
+    return group_search(asked, listed, ["tree", "leaf"], k, config.metric)

@@ -19,7 +19,8 @@ from pyspark.sql.window import Window
 
 from ..errors import ValidationError
 from ..functions.metrics import block_distance, distance, metric_name, pair_distance
-from ..workers import map_arrow
+from ..shared import broadcast_if_small, stage
+from ..workers import importable, map_arrow
 
 DECIMALS = 6
 #: Vectors in a block; a meeting of two blocks holds the square of it in distances.
@@ -61,6 +62,26 @@ def pack(vectors: DataFrame) -> DataFrame:
     return map_arrow(vectors, _packed, f"ids array<{kind}>, flat array<double>")
 
 
+def _nearest(q: np.ndarray, p: np.ndarray, qi: np.ndarray, pi: np.ndarray, k: int, block, exact, rule: str = "all") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, point row, distance) of the k nearest points of each query, and a few spare ones; points are in id order."""
+    d = np.round(block(q, p), DECIMALS)
+    if rule == "others":
+        d[qi[:, None] == pi[None, :]] = np.inf
+    elif rule == "earlier":
+        d[qi[:, None] <= pi[None, :]] = np.inf
+    n = min(len(p), k + _SPARE)
+    if n < len(p):
+        # the spare ones make up for the block form's rounding; ties within are settled by position
+        cut = np.partition(d, n - 1, axis=1)[:, n - 1]
+        rank = np.cumsum(d == cut[:, None], axis=1)
+        room = n - (d < cut[:, None]).sum(1)
+        keep = (d < cut[:, None]) | ((d == cut[:, None]) & (rank <= room[:, None]))
+    else:
+        keep = np.ones(d.shape, bool)
+    r, c = np.nonzero(keep & (d < np.inf))
+    return r, c, np.round(exact(q[r], p[c]), DECIMALS) + 0.0
+
+
 def _meet(metric: str, k: int, rule: str):
     block, exact = block_distance(metric), pair_distance(metric)
 
@@ -74,29 +95,97 @@ def _meet(metric: str, k: int, rule: str):
                     raise ValidationError(f"vectors of length {q.shape[1]} and {p.shape[1]}")
                 qi, pi = (np.array(x.to_pylist()) for x in (q_ids, p_ids))
                 by_id = np.argsort(pi, kind="stable")  # equal distances then go by id
-                p, pi = p[by_id], pi[by_id]
-                d = np.round(block(q, p), DECIMALS)
-                if rule == "others":
-                    d[qi[:, None] == pi[None, :]] = np.inf
-                elif rule == "earlier":
-                    d[qi[:, None] <= pi[None, :]] = np.inf
-                n = min(len(p), k + _SPARE)
-                if n < len(p):
-                    # the spare ones make up for the block form's rounding; ties within are settled by position
-                    cut = np.partition(d, n - 1, axis=1)[:, n - 1]
-                    rank = np.cumsum(d == cut[:, None], axis=1)
-                    room = n - (d < cut[:, None]).sum(1)
-                    keep = (d < cut[:, None]) | ((d == cut[:, None]) & (rank <= room[:, None]))
-                else:
-                    keep = np.ones(d.shape, bool)
-                r, c = np.nonzero(keep & (d < np.inf))
-                found = np.round(exact(q[r], p[c]), DECIMALS)
+                r, c, found = _nearest(q, p[by_id], qi, pi[by_id], k, block, exact, rule)
                 at = pa.array(c), pa.array(r)
-                yield pa.RecordBatch.from_arrays([q_ids.take(at[1]), p_ids.take(pa.array(by_id)).take(at[0]), pa.array(found + 0.0)], ["query_id", "id", "distance"])
+                yield pa.RecordBatch.from_arrays([q_ids.take(at[1]), p_ids.take(pa.array(by_id)).take(at[0]), pa.array(found)], ["query_id", "id", "distance"])
 
     return run
 
 
+#: Rows of a group, on either side, that meet in one product; rows of the data in a task, about.
+GROUP_ROWS, TASK_ROWS = 4096, 50_000
+
+
+def _dealt(df: DataFrame, id_col: str, other: str) -> DataFrame:
+    """``df`` with the part of its group that each row is in, and how many parts the group has. Groups of over ``GROUP_ROWS`` rows,
+    of which there are few, are counted first."""
+    large = df.groupBy("group").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(other)).where(F.col(other) > 1)
+    large = stage(large, "large-groups")
+    if large.isEmpty():
+        return df.withColumn(other, F.lit(1)).withColumn(f"{other}_part", F.lit(0))
+    joined = df.join(broadcast_if_small(large), "group", "left").withColumn(other, F.coalesce(other, F.lit(1)))
+    return joined.withColumn(f"{other}_part", F.pmod(F.xxhash64(id_col), other).cast("int"))
+
+
+def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    sizes = pc.unique(pc.list_value_length(column))
+    if len(sizes) > 1 or len(sizes) and sizes[0].as_py() != dims:
+        raise ValidationError("vectors of different lengths")
+    return np.concatenate([np.asarray(c.flatten(), np.float64) for c in column.chunks]).reshape(len(column), dims)
+
+
+def _in_groups(metric: str, k: int):
+    block, exact = block_distance(metric), pair_distance(metric)
+    names = ["query_id", "id", "distance"]
+
+    def run(queries: pa.Table, data: pa.Table) -> pa.Table:
+        kinds = queries.schema.field("query_id").type, data.schema.field("id").type
+        if not queries.num_rows or not data.num_rows:
+            return pa.table([pa.array([], t) for t in (*kinds, pa.float64())], names)
+        dims = len(data["vec"][0])
+        q, p = _matrix(queries["q"], dims), _matrix(data["vec"], dims)
+        q_ids, p_ids = queries["query_id"].combine_chunks(), data["id"].combine_chunks()
+        q_rank, p_rank = (np.unique(np.array(x.to_pylist()), return_inverse=True)[1] for x in (q_ids, p_ids))
+        q_cell, p_cell = np.asarray(queries["cell"], np.int64), np.asarray(data["cell"], np.int64)
+        q_order, p_order = np.argsort(q_cell, kind="stable"), np.lexsort((p_rank, p_cell))
+        cells = np.intersect1d(q_cell, p_cell)
+        sides = [np.searchsorted(own[order], cells, side) for own, order in ((q_cell, q_order), (p_cell, p_order)) for side in ("left", "right")]
+        rows, points, distances = [], [], []
+        for a, b, c, e in zip(*sides):
+            qs, ps = q_order[a:b], p_order[c:e]
+            for at in range(0, len(qs), 1024):
+                own = qs[at : at + 1024]
+                r, i, d = _nearest(q[own], p[ps], own, ps, k, block, exact)
+                rows.append(own[r]), points.append(ps[i]), distances.append(d)
+        row, point, d = (np.concatenate(x) for x in (rows, points, distances)) if rows else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        # a pair may meet in several groups; k different ones a query leave the task
+        who = q_rank[row]
+        order = np.lexsort((p_rank[point], d, who))
+        row, point, d, who = row[order], point[order], d[order], who[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (who[1:] != who[:-1]) | (p_rank[point[1:]] != p_rank[point[:-1]])
+        row, point, d, who = row[new], point[new], d[new], who[new]
+        first = np.searchsorted(who, who)
+        kept = np.arange(len(who)) - first < k
+        return pa.table([q_ids.take(pa.array(row[kept])), p_ids.take(pa.array(point[kept])), pa.array(d[kept])], names)
+
+    return run
+
+
+def group_search(queries: DataFrame, data: DataFrame, by: list[str], k: int, metric: str) -> DataFrame:
+    """(query_id, rank, id, distance): the k nearest rows of each query among those that share a group with it.
+
+    ``queries``: (by, query_id, q), ``data``: (by, id, vec); a row may be in several groups. Each row travels once a group it is in, and a group is one
+    matrix product, of which k rows a query leave the task; groups of over ``GROUP_ROWS`` rows on either side meet in parts.
+    """
+    group = F.xxhash64(*by).alias("group")
+    q, p = stage(queries.select(group, "query_id", "q"), "asked"), stage(data.select(group, "id", "vec"), "listed")
+    tasks = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-p.count() // TASK_ROWS))
+    dealt_q, dealt_p = _dealt(q, "query_id", "qs"), _dealt(p, "id", "ps")
+    many_q, many_p = (x.select("group", n).distinct().where(F.col(n) > 1) for x, n in ((dealt_q, "qs"), (dealt_p, "ps")))
+    # each part of one side goes to every part of the other
+    full_q = dealt_q.join(many_p, "group", "left").withColumn("ps_part", F.explode(F.sequence(F.lit(0), F.coalesce("ps", F.lit(1)) - 1)))
+    full_p = dealt_p.join(many_q, "group", "left").withColumn("qs_part", F.explode(F.sequence(F.lit(0), F.coalesce("qs", F.lit(1)) - 1)))
+    cell = F.xxhash64("group", "qs_part", "ps_part")
+    left = full_q.select(F.pmod(cell, F.lit(tasks)).alias("task"), cell.alias("cell"), "query_id", "q")
+    right = full_p.select(F.pmod(cell, F.lit(tasks)).alias("task"), cell.alias("cell"), "id", "vec")
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((q, "query_id"), (p, "id"))]
+    importable(q.sparkSession)
+    found = left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(_in_groups(metric_name(metric), k), f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+    once = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+    return top_k(once, k).select("query_id", "rank", "id", "distance")
+
+
 def measured(pairs: DataFrame, metric: str) -> DataFrame:
     """(query_id, id, distance) of (query_id, id, q, vec) candidate pairs, in Arrow batches: several times as fast as
     higher-order functions, which are not compiled."""

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LshConfig
-from ..errors import IndexError_
-from .clusters import literal
-from .knn import measured, prepared, top_k
+from ..errors import IndexError_, ValidationError
+from ..workers import map_arrow
+from .knn import group_search, prepared
 
 
 def projections(config: LshConfig, dims: int) -> tuple[list[list[list[float]]], list[list[float]]]:
@@ -23,42 +25,44 @@ def projections(config: LshConfig, dims: int) -> tuple[list[list[list[float]]],
     return p.round(6).tolist(), rng.uniform(0, config.bucket_width, (config.num_tables, config.num_bits)).round(6).tolist()
 
 
-def _code(vec: Column, table: list[list[float]], offsets: list[float], config: LshConfig) -> Column:
-    """Bits packed, the first one highest."""
-    dots = F.transform(literal(table), lambda p: F.aggregate(F.zip_with(vec, p, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
-    if config.metric == "euclidean":
-        shifted = F.zip_with(dots, F.array(*[F.lit(float(o)) for o in offsets]), lambda d, o: F.floor((d + o) / config.bucket_width))
-        bits = F.transform(shifted, lambda x: F.pmod(x, F.lit(2)).cast("bigint"))
-    else:
-        bits = F.transform(dots, lambda d: (d >= 0).cast("bigint"))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, b: s * 2 + b)
+def _codes(config: LshConfig, dims: int, keep_vector: bool):
+    """The bucket of every vector in every table: bits packed, the first one highest."""
+    p, offsets = (np.array(x) for x in projections(config, dims))
+    weights = 1 << np.arange(config.num_bits - 1, -1, -1, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
+            if b.num_rows and x.shape[1] != dims:
+                raise ValidationError(f"vectors of length {x.shape[1]} and {dims}")
+            for t in range(config.num_tables):
+                dots = x.reshape(-1, dims) @ p[t].T
+                bits = np.floor((dots + offsets[t]) / config.bucket_width).astype(np.int64) % 2 if config.metric == "euclidean" else (dots >= 0).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), t, np.int32)), pa.array(bits @ weights), *b.columns[: 1 + keep_vector]], ["table_no", "bucket", "id", "vec"][: 3 + keep_vector])
+
+    return run
 
 
 def buckets(data: DataFrame, config: LshConfig, dims: int, id_col: str = "id", vector_col: str = "vector", keep_vector: bool = False) -> DataFrame:
     """(table_no, bucket, id) of every row in every table; a map over the rows, without a shuffle."""
-    p, offsets = projections(config, dims)
     own = prepared(data, id_col, vector_col)
-    codes = F.array(*[F.struct(F.lit(t).alias("table_no"), _code(F.col("vec"), p[t], offsets[t], config).alias("bucket")) for t in range(config.num_tables)])
-    exploded = own.select("id", "vec", F.explode(codes).alias("b")).select("b.table_no", "b.bucket", "id", "vec")
-    return exploded if keep_vector else exploded.drop("vec")
+    schema = f"table_no int, bucket bigint, id {own.schema['id'].dataType.simpleString()}" + ", vec array<double>" * keep_vector
+    return map_arrow(own, _codes(config, dims, keep_vector), schema)
 
 
 def lsh_search(queries: DataFrame, data: DataFrame, config: LshConfig, dims: int, k: int, id_col: str = "id", vector_col: str = "vector", flips: int = 0) -> DataFrame:
     """(query_id, rank, id, distance) among rows that share a bucket with the query in any table,
     or whose bucket's number differs from the query's in at most ``flips`` bits.
 
-    Buckets are joined without vectors; these follow only for the distinct candidate pairs.
+    Each bucket is one matrix product for its rows and the queries that look into it.
     """
     if dims < 1:
         raise IndexError_("the dimension is not known")
-    q = buckets(queries, config, dims, id_col, vector_col).withColumnRenamed("id", "query_id")
+    q = buckets(queries, config, dims, id_col, vector_col, True).select("table_no", "bucket", F.col("id").alias("query_id"), F.col("vec").alias("q"))
     if flips:
         masks = [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(config.num_bits), n)]
-        q = q.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks]))).select("table_no", F.col("bucket").bitwiseXOR(F.col("mask")).alias("bucket"), "query_id")
-    pairs = q.join(buckets(data, config, dims, id_col, vector_col), ["table_no", "bucket"]).select("query_id", "id").distinct()
-    left = prepared(queries, id_col, vector_col).select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
-    full = pairs.join(left, "query_id").join(prepared(data, id_col, vector_col), "id")
-    return top_k(measured(full, config.metric), k).select("query_id", "rank", "id", "distance")
+        q = q.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks]))).withColumn("bucket", F.col("bucket").bitwiseXOR(F.col("mask")))
+    return group_search(q, buckets(data, config, dims, id_col, vector_col, True), ["table_no", "bucket"], k, config.metric)
 
 
 def bucket_stats(placed: DataFrame, config: LshConfig) -> DataFrame:
