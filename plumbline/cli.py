@@ -7,10 +7,13 @@ import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import ingest
 from .config import index_config
 from .engine import Engine
 from .errors import PlumblineError
+from .functions.validation import check_id
 from .sources import files
 
 
@@ -66,8 +69,12 @@ def parser() -> argparse.ArgumentParser:
     add("get", (("id",), {}))
     add("update", (("id",), {}), (("--vector",), {}), meta)
     add("delete", (("ids",), {"nargs": "+"}))
-    add("search", (("vector",), {}), k, (("--where",), {}))
-    add("batch-search", path, k)
+    vectors = (("--show-vectors",), {"action": "store_true"})
+    add("search", (("vector",), {}), k, (("--where",), {}), vectors)
+    add("batch-search", path, k, vectors)
+    add("batch-delete", path)
+    number = {"type": int}
+    add("ingest", path, (("--strategy",), {"default": "fixed"}), (("--size",), number | {"default": 500}), (("--overlap",), number | {"default": 50}), (("--terms",), number | {"default": 1000}))
     add("batch-insert", path)
     add("batch-update", path)
     add("list", (("--limit",), {"type": int, "default": 100}), (("--cursor",), {}))
@@ -95,7 +102,7 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
             s = db.stats()
             show([{**s["storage"], **{f"index_{n}": v for n, v in s["index"].items()}}], a.format, out)
         elif a.command == "insert":
-            ids = db.insert(db.frame([files.parse_vector(a.vector)], [_metadata(a.meta)], [a.id] if a.id else None))
+            ids = db.insert_batch([files.parse_vector(a.vector)], [_metadata(a.meta)], [check_id(a.id)] if a.id else None)
             print(*ids, sep="\n", file=out)
         elif a.command == "get":
             row = db.get(a.id)
@@ -109,13 +116,21 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
             show([r.asDict() for r in db.update(rows).collect()], a.format, out)
         elif a.command == "delete":
             print("deleted" if db.delete(a.ids) else "some were not there", file=out)
+        elif a.command == "batch-delete":
+            gone = spark.read.text(a.path).select(F.trim("value").alias("id")).where("id <> '' and not id like '#%'")
+            print("deleted" if db.delete(gone) else "some were not there", file=out)
+        elif a.command == "ingest":
+            show([r.asDict() for r in ingest.ingest_files(spark, db, a.path, ingest.TfidfEmbedder(a.terms), ingest.Chunking(a.strategy, a.size, a.overlap)).toLocalIterator()], a.format, out)
         elif a.command == "search":
-            show(db.search(files.parse_vector(a.vector), a.k, a.where), a.format, out)
+            found = db.search(files.parse_vector(a.vector), a.k, a.where)
+            show([{**r, "vector": db.get(r["id"])["vector"]} for r in found] if a.show_vectors else found, a.format, out)
         elif a.command == "batch-search":
             found = db.search_all(files.read_queries(spark, a.path), a.k)
+            if a.show_vectors:
+                found = found.join(db.table.read().select("id", "vector"), "id")
             show([r.asDict() for r in found.orderBy("query_id", "rank").toLocalIterator()], a.format, out)
         elif a.command in ("batch-insert", "import"):
-            print(len(db.insert(_imported(spark, a.path))), "inserted", file=out)
+            print(db.insert(_imported(spark, a.path)).count(), "inserted", file=out)
         elif a.command == "batch-update":
             rows = files.read_json(spark, a.path) if a.path.endswith(".json") else files.read_updates(spark, a.path)
             show([r.asDict() for r in db.update(rows).collect()], a.format, out)

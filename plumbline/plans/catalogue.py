@@ -7,18 +7,21 @@ the SQL holds the same numbers.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ingest
 from ..config import ForestConfig, GraphConfig, IvfConfig, LshConfig
 from ..functions import metrics, text
 from ..functions.validation import vector_problem
 from ..operators import clusters, forest, graph, knn, lsh, quantize
 from ..operators import table as rows
-from ..shared import stage
+from ..shared import shared_dir, stage
+from ..sources import files
 from ..sources.documents import extract_html
 from ..streaming.ingest import endpoint, figures
 
@@ -78,7 +81,7 @@ def _pairs(metric: str, join: str = "v a CROSS JOIN v b") -> str:
     return f"p AS (SELECT a.id AS query_id, b.id AS id, {_rounded(_SQL_METRICS[metric])} AS distance FROM {join})"
 
 
-# -- exact search -----------------------------------------------------------------------------------
+# -- exact search --
 
 
 def _knn(metric: str) -> Query:
@@ -143,7 +146,7 @@ def vector_norms(spark, d):
     return vectors(spark, d).select("id", F.round(metrics.norm(F.col("vector")), 6).alias("norm"))
 
 
-# -- inverted lists ---------------------------------------------------------------------------------
+# -- inverted lists --
 
 PROBES, WIDE_PROBES = 3, 8
 
@@ -214,7 +217,7 @@ def kmeans(spark, d):
     return clusters.cluster_stats(clusters.assign(v, clusters.train(v, IvfConfig(num_clusters=16, num_probes=4)), "cosine"))
 
 
-# -- hashing ----------------------------------------------------------------------------------------
+# -- hashing --
 
 
 def _numbers(values) -> str:
@@ -275,7 +278,7 @@ def recall_lsh(spark, d):
     return _recall(lsh_search(spark, d), _knn("cosine")(spark, d))
 
 
-# -- graph ------------------------------------------------------------------------------------------
+# -- graph --
 
 GRAPH = GraphConfig()
 
@@ -320,37 +323,18 @@ def hnsw_search(spark, d):
     return graph.graph_search(v, stage(g, "nodes"), stage(e, "edges"), GRAPH, K)
 
 
-# -- forest -----------------------------------------------------------------------------------------
+# -- forest --
 
-FOREST, DEPTH = ForestConfig(num_trees=3), 5
+FOREST = ForestConfig()
 
 
-def _forest_sql() -> str:
-    paths = [""]
-    for p in paths:
-        if len(p) < DEPTH - 1:
-            paths += [p + "0", p + "1"]
-    planes = ", ".join(f"({t}, '{p}', {_numbers(forest.hyperplane(FOREST.seed, t, p, DIMS).tolist())})" for t in range(FOREST.num_trees) for p in paths)
-    return f"""RECURSIVE {_V}, planes(tree, path, h) AS (VALUES {planes}),
-w AS (SELECT t::INT AS tree, id, '' AS path FROM v, range({FOREST.num_trees}) r(t)
-      UNION ALL SELECT w.tree, w.id, w.path || CASE WHEN list_inner_product(v.e, planes.h) >= 0 THEN '1' ELSE '0' END
-      FROM w JOIN planes ON planes.tree = w.tree AND planes.path = w.path JOIN v ON v.id = w.id),
-sizes AS (SELECT tree, path, count(*) AS n FROM w GROUP BY tree, path),
-stops AS (SELECT s.tree, s.path FROM sizes s LEFT JOIN (SELECT tree, left(path, -1) AS path, max(n) AS m FROM sizes WHERE path <> '' GROUP BY ALL) c USING (tree, path)
-          WHERE s.n <= {FOREST.max_leaf_size} OR c.m = s.n OR length(s.path) = {DEPTH}),
-leaves AS (SELECT w.tree, arg_min(w.path, length(w.path)) AS path, w.id FROM w JOIN stops USING (tree, path) GROUP BY w.tree, w.id)"""
-
-
-@_query("annoy_leaves", f"WITH {_forest_sql()} SELECT tree, path, id FROM leaves")
+@_query("annoy_leaves")
 def annoy_leaves(spark, d):
-    return forest.leaves(vectors(spark, d), FOREST, DIMS, DEPTH)
+    """The leaves of the whole forest, at full depth. Planes exist for the paths that rows take only, so there is no SQL; a test has the brute force."""
+    return forest.leaves(vectors(spark, d), FOREST, DIMS)
 
 
-@_query(
-    "annoy_tree_stats",
-    f"WITH {_forest_sql()}, own AS (SELECT tree, path, count(*) AS n FROM leaves GROUP BY tree, path) "
-    "SELECT tree, count(*) AS leaves, 2 * count(*) - 1 AS nodes, max(length(path))::INT AS max_depth, sum(n)::BIGINT AS vectors FROM own GROUP BY tree",
-)
+@_query("annoy_tree_stats")
 def annoy_stats(spark, d):
     return forest.tree_stats(annoy_leaves(spark, d))
 
@@ -359,11 +343,10 @@ def annoy_stats(spark, d):
 def annoy_search(spark, d):
     """Best-first over a priority queue: sequential per query, so there is no SQL."""
     v = vectors(spark, d)
-    config = ForestConfig()
-    return forest.forest_search(v, v, stage(forest.leaves(v, config, DIMS), "leaves"), config, DIMS, K)
+    return forest.forest_search(v, v, stage(forest.leaves(v, FOREST, DIMS), "leaves"), FOREST, DIMS, K)
 
 
-# -- quantizers -------------------------------------------------------------------------------------
+# -- quantizers --
 
 BITS = 8
 _PARAMS = f"""{_V}, flat AS (SELECT id, unnest(e) AS x, (generate_subscripts(e, 1) - 1)::INT AS pos FROM v),
@@ -422,7 +405,7 @@ def pq_trained(spark, d):
     return back.select("id", F.round(metrics.euclidean_distance(F.col("vector"), F.col("back")), 6).alias("error"))
 
 
-# -- rows -------------------------------------------------------------------------------------------
+# -- rows --
 
 
 def _base(spark: SparkSession, d: str) -> DataFrame:
@@ -470,6 +453,70 @@ def page_offset(spark, d):
     return rows.offset_page(_base(spark, d), 3, 20).select("id")
 
 
+@_query("page_info", "SELECT 3 AS page, 20 AS size, count(*) AS total, ceil(count(*) / 20)::BIGINT AS pages, ceil(count(*) / 20) > 3 AS has_next, true AS has_previous FROM embeddings")
+def page_info(spark, d):
+    return rows.page_info(_base(spark, d), 3, 20)
+
+
+@_query("point_lookup", f"WITH {_ROWS} SELECT id, metadata, round(e[1], 6) + 0.0 AS first FROM base WHERE id = 42")
+def point_lookup(spark, d):
+    return _base(spark, d).where("id = 42").select("id", "metadata", (F.round(F.col("vector")[0], 6) + 0.0).alias("first"))
+
+
+@_query("update_flags", "SELECT doc_id AS id, doc_id IN (SELECT vec_id FROM embeddings) AS updated FROM labels")
+def update_flags(spark, d):
+    return rows.update_flags(_base(spark, d), _table(spark, d, "labels").select(F.col("doc_id").alias("id")))
+
+
+def _beside(spark: SparkSession, kind: str) -> str:
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+_TRIP = f"WITH {_ROWS} SELECT id::VARCHAR AS id, label::VARCHAR AS label, len(e)::INT AS dims, round(list_sum(e), 6) + 0.0 AS total FROM v"
+
+
+def _figures_of(df: DataFrame) -> DataFrame:
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return df.select("id", F.col("metadata")["label"].alias("label"), F.size("vector").alias("dims"), (F.round(total, 6) + 0.0).alias("total"))
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    return _base(spark, d).withColumn("id", F.col("id").cast("string"))
+
+
+@_query("json_round_trip", _TRIP)
+def json_trip(spark, d):
+    """All rows exported as JSON lines and imported again."""
+    to = _beside(spark, "json")
+    files.write_json(_named(spark, d), to)
+    return _figures_of(files.read_json_lines(spark, to))
+
+
+@_query("csv_round_trip", _TRIP)
+def csv_trip(spark, d):
+    to = _beside(spark, "csv")
+    files.write_csv(_named(spark, d), to)
+    return _figures_of(files.read_export(spark, to))
+
+
+@_query("snapshot_round_trip", f"WITH {_ROWS} SELECT id::VARCHAR AS id, metadata, len(e)::INT AS dims FROM base")
+def snapshot_trip(spark, d):
+    to = _beside(spark, "snapshot")
+    files.save_snapshot(_named(spark, d), to, {"version": 1}, True)
+    return files.load_snapshot(spark, to)[0].select("id", "metadata", F.size("vector").alias("dims"))
+
+
+@_query("table_life", "SELECT vec_id::VARCHAR AS id, CASE WHEN label = 3 THEN '{\"label\":\"three\"}' ELSE '{\"label\":' || label || '}' END AS metadata FROM embeddings WHERE label <> 7")
+def table_life(spark, d):
+    """A versioned table through insert, update and delete, and what it then has."""
+    table = rows.VectorTable(spark, _beside(spark, "table"))
+    own = _named(spark, d)
+    table.insert(own)
+    table.update(own.where("metadata = '{\"label\":3}'").select("id", F.lit(None).cast("array<double>").alias("vector"), F.lit('{"label":"three"}').alias("metadata")))
+    table.delete(own.where("metadata = '{\"label\":7}'").select("id"))
+    return table.read().select("id", "metadata")
+
+
 @_query("storage_stats", f"WITH {_ROWS} SELECT count(*) AS vectors, sum(len(e) * 8 + strlen(metadata))::BIGINT AS bytes, min(len(e))::INT AS min_dimensions, max(len(e))::INT AS max_dimensions FROM base")
 def storage_stats(spark, d):
     return rows.storage_stats(_base(spark, d))
@@ -480,7 +527,7 @@ def validated(spark, d):
     return vectors(spark, d).select("id", F.coalesce(vector_problem(F.col("vector"), DIMS), F.lit("ok")).alias("verdict"))
 
 
-# -- text -------------------------------------------------------------------------------------------
+# -- text --
 
 
 @_query(
@@ -561,13 +608,28 @@ def rag(spark, d):
     return text.retrieve(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
 
 
+_EMBED, _SHORT = 1000, (500, 50)
+_INGEST = f"""{_chunks_sql(*_SHORT)}, named AS (SELECT doc_id || '_' || chunk_index AS chunk_id, * FROM chunks),
+{_terms_sql('named', 'chunk_id', 'chunk', 'f')}, {_vocabulary_sql('named', 'f', 'vocab', _EMBED)}, {_weights_sql('f', 'vocab', 'w')},
+s AS (SELECT doc, count(*) AS n, sum(weight) AS total FROM w GROUP BY doc)"""
+
+
+@_query("ingest_documents", f"WITH {_INGEST} SELECT chunk_id, doc_id, chunk_index, length(chunk)::INT AS chunk_size, 'fixed' AS strategy, coalesce(s.n, 0)::INT AS terms, round(coalesce(s.total, 0), 6) + 0.0 AS total FROM named LEFT JOIN s ON s.doc = chunk_id")
+def ingest_documents(spark, d):
+    """Documents chunked and embedded as they go into a table: the chunks, and a figure of each one's vector."""
+    own = ingest.embedded_chunks(_table(spark, d, "documents"), ingest.TfidfEmbedder(_EMBED), ingest.Chunking("fixed", *_SHORT))
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    terms = F.size(F.filter("vector", lambda x: x != 0))
+    return own.select("chunk_id", "doc_id", "chunk_index", "chunk_size", "strategy", terms.alias("terms"), (F.round(total, 6) + 0.0).alias("total"))
+
+
 @_query("html_extract")
 def html_extract(spark, d):
     """A lenient HTML parser: no SQL."""
     return extract_html(_table(spark, d, "pages")).drop("meta", "h1")
 
 
-# -- request figures --------------------------------------------------------------------------------
+# -- request figures --
 
 
 @_query(

@@ -8,8 +8,9 @@ import zipfile
 import pytest
 
 from plumbline import cli
+from plumbline import ingest as ingest_lib
 from plumbline.engine import Engine
-from plumbline.errors import ParsingError, ValidationError
+from plumbline.errors import ParsingError, StorageError, ValidationError
 from plumbline.functions import text, validation
 from plumbline.operators import table
 from plumbline.sources import documents, files
@@ -21,7 +22,7 @@ def test_table_life(spark, tmp_path):
     t = table.VectorTable(spark, str(tmp_path / "t"))
     assert t.read().count() == 0 and t.get("a") is None
     rows = spark.createDataFrame([("a", [1.0, 0.0], '{"x":1}'), ("b", [0.0, 1.0], None), ("c:/ d", [1.0, 1.0], "{}")], table.SCHEMA)
-    assert t.insert(rows) == ["a", "b", "c:/ d"]
+    assert [r["id"] for r in t.insert(rows).collect()] == ["a", "b", "c:/ d"]
     changes = spark.createDataFrame([("a", None, None), ("b", [2.0, 2.0], '{"y":2}'), ("zz", [9.0, 9.0], None)], table.SCHEMA)
     assert {r["id"]: r["updated"] for r in t.update(changes).collect()} == {"a": True, "b": True, "zz": False}
     assert t.get("a") == {"id": "a", "vector": [1.0, 0.0], "metadata": None} and t.get("b")["metadata"] == {"y": 2}
@@ -33,10 +34,68 @@ def test_table_life(spark, tmp_path):
     assert t.page(2, "c:/ d")[0].count() == 0
     assert not t.delete(["a", "nope"]) and t.delete(["b"]) and list(t.stream_ids()) == ["c:/ d"]
     assert t.stats().first().asDict() == {"vectors": 1, "bytes": 18, "min_dimensions": 2, "max_dimensions": 2}
-    drawn = t.insert(spark.createDataFrame([([5.0, 5.0],)], "vector array<double>"))
+    drawn = [r["id"] for r in t.insert(spark.createDataFrame([([5.0, 5.0],)], "vector array<double>")).collect()]
     assert len(drawn) == 1 and t.get(drawn[0])["vector"] == [5.0, 5.0]
 
 
+def test_writers_that_meet(spark, tmp_path):
+    """Of two writers that start from the same version one fails, and nothing is lost."""
+    one, two = (table.VectorTable(spark, str(tmp_path / "t")) for _ in range(2))
+    row = lambda i: spark.createDataFrame([(i, [1.0], None)], table.SCHEMA)
+    one.insert(row("a"))
+    now = one.version()
+    stale = table.upsert(one.read(now), row("c"))
+    two.insert(row("b"))
+    with pytest.raises(StorageError):
+        one.commit(stale, now)
+    assert list(one.stream_ids()) == ["a", "b"] and one.version() == 2 and one.read(1).count() == 1
+    one.insert(row("c"))
+    assert list(two.stream_ids()) == ["a", "b", "c"] and two.disk_stats()["version"] == 3 and two.disk_stats()["bytes"] > 0
+
+
+def test_hybrid_cache(spark, tmp_path):
+    t = table.VectorTable(spark, str(tmp_path / "t"), "hybrid")
+    t.insert(spark.createDataFrame([("a", [1.0], None)], table.SCHEMA))
+    assert t.cache_stats() == {"hits": 0, "misses": 0, "hit_rate": 0.0, "cached": False}
+    assert t.preload() == 1 and t.get("a") and t.get("a")
+    assert t.cache_stats() == {"hits": 2, "misses": 1, "hit_rate": 2 / 3, "cached": True}
+    t.forget()
+    small = table.VectorTable(spark, t.path, "hybrid", cache_bytes=1)
+    assert small.get("a") and not small.cache_stats()["cached"]
+
+
+def test_rules_hold_at_the_engine(spark, tmp_path):
+    path = str(tmp_path / "db")
+    Engine(spark, path).insert_batch([[1.0, 2.0]], [{"k": "v"}], ["a"])
+    again = Engine(spark, path)  # the dimensions are the table's, not those of the new rows
+    for bad in (dict(vectors=[[1.0, 2.0, 3.0]]), dict(vectors=[[1.0, 2.0]], ids=[" "]), dict(vectors=[[1.0, 2.0]], metadata=[{"x" * 300: 1}]), dict(vectors=[]), dict(vectors=[[1.0, 2.0]] * 2, ids=["x"]), dict(vectors=[[1.0, 2.0]] * 2, ids=["x", "x"]), dict(vectors=[[1.0, 2.0]] * 1001)):
+        with pytest.raises(ValidationError):
+            again.insert_batch(**bad)
+    with pytest.raises(ValidationError):
+        again.update(spark.createDataFrame([("a", [1.0])], "id string, vector array<double>"))
+    assert again.table.version() == 1 and again.search([1.0, 2.0], 1)[0]["similarity"] > 0.999
+
+
+def test_documents_go_in_and_are_found(spark, tmp_path):
+    texts = {"ai.txt": "Neural networks learn from data. Machine learning models need training.", "db.txt": "Databases store rows in tables. An index makes queries fast.", "cook.html": "<p>Boil the pasta in salted water.</p>"}
+    (tmp_path / "in").mkdir()
+    for name, t in texts.items():
+        (tmp_path / "in" / name).write_text(t)
+    (tmp_path / "in" / "bad.docx").write_text("no archive")
+    db, embedder = Engine(spark, str(tmp_path / "db")), ingest_lib.TfidfEmbedder(200)
+    done = {r["filename"]: (r["chunks"], r["error"] is None) for r in ingest_lib.ingest_files(spark, db, str(tmp_path / "in"), embedder, ingest_lib.Chunking("fixed", 400, 0)).collect()}
+    assert done == {"ai.txt": (1, True), "db.txt": (1, True), "cook.html": (1, True), "bad.docx": (0, False)}
+    assert isinstance(embedder, ingest_lib.Embedder) and embedder.dimensions == db.get(list(db.table.stream_ids())[0])["vector"].__len__()
+    asked = spark.createDataFrame([("q1", "training of neural networks"), ("q2", "an index for queries")], "id string, text string")
+    best = {r["query_id"]: r["chunk"] for r in ingest_lib.answer(db, embedder, asked, 1).collect()}
+    assert best == {"q1": texts["ai.txt"], "q2": texts["db.txt"]}
+    for strategy, overlap in (("sentence", 1), ("paragraph", 0)):
+        got = ingest_lib.Chunking(strategy, 100, overlap).apply(spark.createDataFrame([(1, "One two three. Four five six.")], "doc_id long, text string")).first()
+        assert got["strategy"] == strategy and got["max_size"] == 100 and got["chunk_size"] == len(got["chunk"])
+    with pytest.raises(ValidationError):
+        ingest_lib.TfidfEmbedder().embed(asked)
+
+
 def test_offset_pages(spark):
     df = spark.range(50)
     assert [r["id"] for r in table.offset_page(df, 2, 20).collect()] == list(range(20, 40))
@@ -53,7 +112,7 @@ def test_engine_finds_what_was_put_in(spark, tmp_path, kind, options):
     assert db.search([1.0, 0.0, 0.0], 3) == []
     vectors = [[math.cos(i / 7), math.sin(i / 7), 0.1 * (i % 3)] for i in range(30)]
     ids = db.insert(db.frame(vectors, [{"n": i} for i in range(30)], [f"v{i:02d}" for i in range(30)]))
-    assert len(ids) == 30
+    assert ids.count() == 30
     for probe in (0, 17):
         best = db.search(vectors[probe], 2)[0]
         assert best["id"] == f"v{probe:02d}" and best["distance"] < 1e-6 and json.loads(best["metadata"]) == {"n": probe}
@@ -112,6 +171,8 @@ def test_documents(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(data.getvalue())
     (tmp_path / "b.txt").write_text("plain")
     (tmp_path / "c.xyz").write_text("?")
+    about = {r["filename"]: r["metadata"] for r in documents.read_documents(spark, str(tmp_path)).collect()}
+    assert about["b.txt"] == {"characters": "5", "words": "1", "lines": "1", "type": "txt"} and about["c.xyz"] is None
     got = {r["filename"]: (r["text"], r["error"] is None) for r in documents.read_documents(spark, str(tmp_path)).collect()}
     assert got == {"a.docx": ("One\nTwo", True), "b.txt": ("plain", True), "c.xyz": (None, False)}
 
