@@ -8,17 +8,24 @@ levels, one join with the edges each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import GraphConfig
+from ..functions.metrics import pair_distance
 from ..shared import stage
-from .knn import knn_join, measured, prepared, top_k
+from ..workers import map_arrow
+from .knn import BLOCK, DECIMALS, knn_join, measured, prepared, top_k
 
 TOP_LEVEL = 9
+#: Size of a graph that is sent to every worker.
+LOCAL_BYTES = 64 << 20
 
 
 def nodes(data: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -28,10 +35,16 @@ def nodes(data: DataFrame, id_col: str = "id", vector_col: str = "vector") -> Da
 
 
 def edges(graph: DataFrame, config: GraphConfig, levels: int = TOP_LEVEL + 1) -> DataFrame:
-    """(level, src, dst), symmetric and distinct."""
+    """(level, src, dst), symmetric and distinct. Levels that fit into one block are built by one task each."""
+    per_level = {r["level"]: r["n"] for r in graph.groupBy("level").agg(F.count("*").alias("n")).collect()}
     parts = []
     for level in range(levels):
+        rows = sum(n for at, n in per_level.items() if at >= level)
+        if not rows and parts:
+            break
         own = graph.where(F.col("level") >= level).select("id", F.col("vec").alias("vector"))
+        if rows <= BLOCK:
+            own = own.coalesce(1)
         near = knn_join(own, own, config.m, config.metric, rule="earlier").select(F.col("query_id").alias("a"), F.col("id").alias("b"))
         both = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
         # the later node is always first in ``near``, so no edge comes twice
@@ -39,17 +52,76 @@ def edges(graph: DataFrame, config: GraphConfig, levels: int = TOP_LEVEL + 1) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def graph_search(queries: DataFrame, graph: DataFrame, links: DataFrame, config: GraphConfig, k: int, hops: int = 1, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+class _Local:
+    """The whole graph in a worker, for one that is small by its counted size: the same walk, without a join a level."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: np.ndarray, links: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        self.entry = int(np.lexsort((ids, -levels))[0])
+        self.top = int(levels.max())
+        self.links = []
+        for level in range(self.top + 1):
+            own = links[links[:, 0] == level]
+            src, dst = np.searchsorted(ids, own[:, 1]), np.searchsorted(ids, own[:, 2])
+            order = np.lexsort((dst, src))
+            starts = np.searchsorted(src[order], np.arange(len(ids) + 1))
+            self.links.append((starts, dst[order]))
+
+    def _beside(self, level: int, rows: np.ndarray) -> np.ndarray:
+        starts, dst = self.links[level]
+        parts = [dst[starts[r] : starts[r + 1]] for r in rows]
+        return np.unique(np.concatenate(parts)) if parts else rows
+
+    def search(self, q: np.ndarray, config: GraphConfig, k: int, hops: int) -> tuple[np.ndarray, np.ndarray]:
+        exact = pair_distance(config.metric)
+
+        def ranked(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+            d = np.round(exact(np.repeat(q[None], len(rows), 0), self.vectors[rows]), DECIMALS) + 0.0
+            order = np.lexsort((rows, d))[:most]
+            return rows[order], d[order]
+
+        beam = np.array([self.entry])
+        for level in range(self.top, 0, -1):
+            reached = self._beside(level, beam)
+            beam, _ = ranked(reached if len(reached) else beam, config.ef_search)
+        for _ in range(hops):
+            beam = np.union1d(beam, self._beside(0, beam))
+        return ranked(beam, k)
+
+
+def _search_local(queries: DataFrame, graph: DataFrame, links: DataFrame, config: GraphConfig, k: int, hops: int) -> DataFrame:
+    rows, pairs = graph.select("id", "vec", "level").toArrow().sort_by("id"), links.select("level", "src", "dst").toArrow()
+    vectors = np.array(rows["vec"].to_pylist(), np.float64)
+    own = _Local(np.asarray(rows["id"], np.int64), vectors, np.asarray(rows["level"], np.int64), np.stack([np.asarray(pairs[c], np.int64) for c in ("level", "src", "dst")], axis=1))
+    shared = queries.sparkSession.sparkContext.broadcast(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        for b in batches:
+            found = [g.search(np.asarray(v.values, np.float64), config, k, hops) for v in b.column(1)]
+            size = np.fromiter((len(r) for r, _ in found), np.int64, len(found))
+            cat = lambda i, kind: np.concatenate([f[i] for f in found]) if found else np.zeros(0, kind)
+            rank = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(rank.astype(np.int32)), pa.array(g.ids[cat(0, np.int64)]), pa.array(cat(1, np.float64))], ["query_id", "rank", "id", "distance"])
+
+    spread = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return map_arrow(spread, run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, rank int, id bigint, distance double")
+
+
+def graph_search(queries: DataFrame, graph: DataFrame, links: DataFrame, config: GraphConfig, k: int, hops: int = 1, id_col: str = "id", vector_col: str = "vector", local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """(query_id, rank, id, distance) by beam search.
 
     Enters at the smallest id of the highest level that has nodes. Above level 0 the beam becomes the ``ef_search`` nearest
     neighbours of its members, or stays if there are none; at level 0 the members and their neighbours of
-    ``hops`` rounds are ranked. ``graph`` and ``links`` should be written tables: they are read once per level.
+    ``hops`` rounds are ranked. ``graph`` and ``links`` should be written tables. A graph of up to ``local_bytes``, by the counted
+    nodes and edges, is sent to the workers, which walk it for each query; a larger one is walked by a join a level. The result is the same.
     """
     q = prepared(queries, id_col, vector_col).select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
-    entry = graph.orderBy(F.desc("level"), "id").limit(1).select("id", "level").first()
+    entry = graph.orderBy(F.desc("level"), "id").limit(1).select("id", "level", F.size("vec").alias("dims")).first()
     if entry is None:
         return q.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("id"), F.lit(0.0).alias("distance")).limit(0)
+    if graph.count() * (8 * entry["dims"] + 16) + links.count() * 24 <= local_bytes:
+        return _search_local(q, graph, links, config, k, hops)
     vectors = graph.select("id", "vec")
     beam = q.select("query_id", F.lit(entry["id"]).alias("id"))
     by_distance = Window.partitionBy("query_id").orderBy("distance", "id")

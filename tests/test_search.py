@@ -141,6 +141,8 @@ def test_graph(cloud):
         want = {j for j, _ in nearest("cosine", x, x[i], 4, [j for j in range(i)])}
         assert {b for lv, a, b in edges if lv == 0 and a == i and b < i} >= want
     found = by_query(graph.graph_search(df, g, links, config, 5))
+    few = df.where("id < 12")
+    assert by_query(graph.graph_search(few, g, links, config, 5, local_bytes=0)) == {q: found[q] for q in range(12)}  # the join a level gives the same
     exact = {q: {i for i, _ in nearest("cosine", x, x[q], 5)} for q in range(len(x))}
     assert sum(len({i for i, _ in found[q]} & exact[q]) for q in exact) > 0.8 * 5 * len(x)
 
