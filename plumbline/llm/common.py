@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir, stage
+from ..shared import broadcast_if_small, shared_dir, stage
 from ..workers import importable
 
-__all__ = ["shared_dir", "stage"]
+__all__ = ["broadcast_if_small", "shared_dir", "stage"]
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -100,26 +100,16 @@ def list_array(flat: pa.Array, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
 
-def discard(*used: DataFrame, path: str | None = None, spark: SparkSession | None = None) -> None:
-    """Delete written tables that nothing reads again; with a path, also let Spark drop the shuffles of jobs that have ended."""
-    paths = [path] if path else []
-    for df in used:
-        spark = df.sparkSession
-        paths += {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    if spark is None:
-        return
-    for p in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(p)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if path:
-        gc.collect()
-        spark._jvm.System.gc()
+def discard(*used: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Delete written tables, or folders, that nothing reads again."""
+    for x in used:
+        session = spark or x.sparkSession
+        for p in [x] if isinstance(x, str) else {f.rsplit("/", 1)[0] for f in x.inputFiles()}:
+            where = session._jvm.org.apache.hadoop.fs.Path(p)
+            where.getFileSystem(session._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: A side of a join is broadcast up to this many (narrow) rows, counted first; beyond, it is shuffled.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(staged: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``staged`` (a written, narrow table) with a broadcast hint if its counted rows allow it."""
-    return F.broadcast(staged) if staged.count() <= most else staged
+def cleaned(spark: SparkSession) -> None:
+    """Let Spark drop the shuffles of jobs that have ended: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -12,9 +12,10 @@ decided first, by a rule that is exact, too:
 1. Documents are read once, in blocks; equal sets are found by digest and go on as one.
 2. Every n-gram's document frequency is counted over the whole corpus, and comes back to the blocks that have it.
 3. In the order of frequency, two sets of Jaccard t or more share one of the first ``size - ceil(t x size) + 1``
-   n-grams of each. Sets meet at these n-grams (those that only one document has are left out), and are connected where
-   the bound of their points allows the threshold. A group of near copies meets at hundreds of n-grams; it
-   is connected at the first, and passed over at the rest, so no list of pairs is ever made.
+   n-grams of each, and meet there; n-grams that only one document has are left out. The first that they share has at least as many n-grams from it to the end,
+   in either set, as they must have in common (about three quarters of either, if they are of one size); any other meeting is passed over. A group of near copies meets at hundreds of n-grams, so
+   sets are connected first at the ``FIRST`` n-grams of least hash, where the bound of their points allows the threshold. At all the n-grams, then, only sets
+   that aren't connected yet make a candidate, which is connected by the same bound. No list of a group's pairs is ever made.
 4. Connected sets get their R-tree: each one's n-grams are sent there once. A group of over ``task_grams`` n-grams is cut into
    slices, and every pair of slices gets a tree. Survivors of the bound are verified; links are counted, not listed.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, chunks, discard, narrow, ranges, release, shared_dir, stage, strings, table
+from .common import broadcast_if_small, chunks, cleaned, discard, narrow, ranges, release, shared_dir, stage, strings, table
 
 N, THRESHOLD, GROUPS = 2, 0.6, 64
 #: Text of a block; n-grams that meet in one task, about; sets that meet at one n-gram without a grid, as a power of 2.
@@ -46,6 +47,9 @@ BLOCK_BYTES, TASK_GRAMS, HOT = 6 << 20, 2_000_000, 16
 #: Pairs that are connected on the driver (16 bytes each).
 FEW_EDGES = 500_000
 _ROW_BITS, _BLOCK_BITS = 23, 20
+_LEAST, _MOST = 6, 11
+#: n-grams of a set at which it is connected first; more or fewer change no result.
+FIRST = 8
 _WORD = re.compile(r"\w+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _EPS = 1e-9
@@ -56,11 +60,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def _words(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _words(tokens: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all tokens, end to end, and how many each has."""
-    made = [(xxhash.xxh64_intdigest(t.lower()),) if t.isalnum() else [xxhash.xxh64_intdigest(w) for w in _WORD.findall(t.lower())] for t in tokens]
-    count = np.fromiter(map(len, made), np.int64, len(made))
-    return np.fromiter(chain.from_iterable(made), np.uint64, int(count.sum())), count
+    plain = pc.and_(pc.string_is_ascii(tokens), pc.utf8_is_alnum(tokens))
+    one = np.asarray(plain)
+    lower = np.asarray(pc.ascii_lower(tokens.filter(plain)), object)
+    made = [[xxhash.xxh64_intdigest(w) for w in _WORD.findall(t.lower())] for t in np.asarray(tokens.filter(pc.invert(plain)), object)]
+    count = np.ones(len(tokens), np.int64)
+    count[~one] = np.fromiter(map(len, made), np.int64, len(made))
+    flat, single = np.empty(int(count.sum()), np.uint64), np.repeat(one, count)
+    flat[single] = np.fromiter(map(xxhash.xxh64_intdigest, lower), np.uint64, len(lower))
+    flat[~single] = np.fromiter(chain.from_iterable(made), np.uint64, len(flat) - len(lower))
+    return flat, count
 
 
 def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +80,7 @@ def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     A text of fewer than n words has one short gram of all of them."""
     split = pc.utf8_split_whitespace(texts.cast(pa.large_string()))
     encoded = split.flatten().dictionary_encode()
-    flat, count = _words(encoded.dictionary.to_pylist())
+    flat, count = _words(encoded.dictionary)
     code = np.asarray(encoded.indices, np.int64)
     words = flat[ranges((np.cumsum(count) - count)[code], count[code])]
     tokens = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(split.value_lengths(), 0), np.int64))])
@@ -108,16 +119,70 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, a_over: np.ndarray, b_over: np.n
     return np.minimum(a, b).sum(1, dtype=np.int64) + np.minimum(a_over, b_over)
 
 
-def _allowed(a: np.ndarray, b: np.ndarray, point: np.ndarray, over: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+def _allowed(a: np.ndarray, b: np.ndarray, bound: Callable, size: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs (a, b) can be of the threshold, by sizes and points."""
     ok = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - _EPS
     at = np.flatnonzero(ok)
-    for k in range(0, len(at), 1 << 18):
-        i = at[k : k + (1 << 18)]
-        ok[i] = overlap_bound(point[a[i]], point[b[i]], over[a[i]], over[b[i]]) + _EPS >= threshold / (1 + threshold) * (size[a[i]] + size[b[i]])
+    ok[at] = bound(a[at], b[at]) + _EPS >= threshold / (1 + threshold) * (size[a[at]] + size[b[at]])
     return ok
 
 
+def _in_steps(a: np.ndarray, b: np.ndarray, point: np.ndarray, over: np.ndarray) -> np.ndarray:
+    step = max(1, (1 << 24) // point.shape[1])
+    parts = [overlap_bound(point[a[k : k + step]], point[b[k : k + step]], over[a[k : k + step]], over[b[k : k + step]]) for k in range(0, len(a), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+class Points:
+    """Points of sets of all sizes: a large set has more groups, and is folded to as many as its partner has, which gives
+    the point that it would have had with so few. Counts go up to 15."""
+
+    def __init__(self, data: bytes, size: np.ndarray):
+        self.level = levels(size)
+        packed, width = np.frombuffer(data, np.uint8), 1 << self.level >> 1
+        starts = np.cumsum(width) - width
+        self.at: dict[int, tuple] = {}
+        above: tuple = ()
+        for level in range(_MOST, _LEAST - 1, -1):
+            own = np.flatnonzero(self.level == level)
+            half = packed[ranges(starts[own], width[own])].reshape(len(own), -1) if len(own) else np.zeros((0, 1 << level >> 1), np.uint8)
+            point = np.stack([half >> 4, half & 15], axis=2).reshape(len(own), 1 << level)
+            if above:
+                folded = np.minimum(above[1][:, : 1 << level] + above[1][:, 1 << level :], 15)
+                own, point = np.concatenate([own, above[0]]), np.concatenate([point, folded])
+            above = own, point
+            if len(own):
+                row = np.full(len(size), -1)
+                row[own] = np.arange(len(own))
+                self.at[level] = row, point, size[own] - point.sum(1, dtype=np.int64)
+
+    @staticmethod
+    def pack(flat: np.ndarray, size: np.ndarray) -> list[bytes]:
+        out, starts, level = [b""] * len(size), np.cumsum(size) - size, levels(size)
+        for v in np.unique(level):
+            own = np.flatnonzero(level == v)
+            step = max(1, (1 << 22) >> int(v))
+            for k in range(0, len(own), step):
+                rows = own[k : k + step]
+                point, _ = count_points(flat[ranges(starts[rows], size[rows])], size[rows], 1 << int(v), 15)
+                for i, p in zip(rows, point[:, ::2] << 4 | point[:, 1::2]):
+                    out[i] = p.tobytes()
+        return out
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        level, out = np.minimum(self.level[a], self.level[b]), np.empty(len(a), np.int64)
+        for v in np.unique(level):
+            i = np.flatnonzero(level == v)
+            row, point, over = self.at[int(v)]
+            out[i] = _in_steps(row[a[i]], row[b[i]], point, over)
+        return out
+
+
+def levels(size: np.ndarray) -> np.ndarray:
+    """Groups of a set's point, as a power of 2: about one for four n-grams."""
+    return np.clip(np.ceil(np.log2(np.maximum(size, 1) / 4)), _LEAST, _MOST).astype(np.int64)
+
+
 class CountTree:
     """R-tree over count vectors, bulk-loaded: split at the median of the size or of the widest coordinate."""
 
@@ -158,7 +223,7 @@ class CountTree:
                 continue
             for r in rows:
                 mine = q[q > r]
-                mine = mine[_allowed(mine, np.full(len(mine), r), self.points, self.over, self.sizes, threshold)]
+                mine = mine[_allowed(mine, np.full(len(mine), r), lambda a, b: _in_steps(a, b, self.points, self.over), self.sizes, threshold)]
                 if len(mine):
                     yield mine, int(r)
 
@@ -203,8 +268,9 @@ def _unpacked(data: bytes, rows: np.ndarray | None = None) -> pa.Array:
 
 def _by_part(distinct: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """The parts that grams are in, and where these grams are, in the order of their lower half."""
-    part = ((distinct >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((distinct.astype(np.uint32), part))
+    part = (distinct >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part << np.uint64(32) | distinct & np.uint64(0xFFFFFFFF))
+    part = part.astype(np.int64)
     ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
     for a, b in zip([0, *ends[:-1]], ends):
         yield int(part[order[a]]), order[a:b]
@@ -260,36 +326,78 @@ def _frequencies(part: pa.Table) -> pa.Table:
 
 # -- where sets meet
 
-_MET = "part int, ids binary, sizes binary, points binary, tokens binary, at binary"
+_MET = "kind tinyint, part int, ids binary, sizes binary, points binary, met binary"
+_ALL, _EARLY, _POINTS = range(3)
+
+
+def _squeezed(tokens: np.ndarray, at: np.ndarray, left: np.ndarray) -> bytes:
+    """Ascending tokens as steps, with sets and n-grams left, byte by byte of all, compressed."""
+    columns = np.stack([np.diff(tokens, prepend=np.uint32(0)), at.astype(np.uint32), left.astype(np.uint32)])
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(columns.view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1)).tobytes())
+
 
+def _spread(data: bytes) -> np.ndarray:
+    """Tokens, sets and n-grams left, in rows."""
+    columns = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(3, 4, -1).transpose(0, 2, 1)
+    columns = np.ascontiguousarray(columns).view(np.uint32)[:, :, 0].copy()
+    columns[0] = np.cumsum(columns[0], dtype=np.uint32)
+    return columns
 
-def _prefixes(n: int, groups: int, parts: int, threshold: float, hot: int):
-    kinds = [pa.int32(), *[pa.binary()] * 5]
+
+def _prefixes(n: int, parts: int, meetings: int, threshold: float, hot: int):
+    """Where the sets of a block meet others: by part of the n-grams, for all of them and for the first ones; and the points of these sets."""
+    kinds = [pa.int8(), pa.int32(), *[pa.binary()] * 4]
     names = [c.split()[0] for c in _MET.split(", ")]
 
     def run(text: pa.Table, told: pa.Table) -> pa.Table:
         block = text["block"][0].as_py()
         flat, size = gram_sets(_unpacked(text["a"][0].as_py()), n)
         codes = dict(zip(told["part"].to_pylist(), told["a"].to_pylist()))
-        distinct = np.unique(flat)
+        distinct, known = np.unique(flat, return_inverse=True)
         frequency = np.zeros(len(distinct), np.uint8)
         for p, at in _by_part(distinct, parts):
             frequency[at] = np.frombuffer(codes[p], np.uint8)
+        frequency = frequency[known]
         # the sets that this block stands for
         rows = np.frombuffer(codes.get(-1, b""), np.int32).astype(np.int64)
         starts = (np.cumsum(size) - size)[rows]
         size = size[rows].astype(np.int64)
-        flat = flat[ranges(starts, size)]
-        code = frequency[np.searchsorted(distinct, flat)].astype(np.int64)
+        at = ranges(starts, size)
+        flat, code = flat[at], frequency[at].astype(np.int64)
         who = np.repeat(np.arange(len(rows)), size)
         order = np.argsort(who * 64 + code, kind="stable")  # by frequency, then hash
         rank = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         most = size - np.ceil(threshold * size - _EPS).astype(np.int64) + 1
-        take = order[(rank < np.repeat(most, size)) & (code[order] > 0)]
+        used = (rank < np.repeat(most, size)) & (code[order] > 0)
+        take = order[used]
         key, code, who_at = flat[take], code[take], who[take]
-        point, _ = count_points(flat, size, groups, 15)
-        point = point[:, ::2] << 4 | point[:, 1::2]
+        left = size[who_at] - rank[used]
         ids = (block << _ROW_BITS) + rows
+        out: list[tuple] = []
+
+        def sent(kind: int, key: np.ndarray, who: np.ndarray, left: np.ndarray, points: list[bytes] | None) -> None:
+            part = ((key >> np.uint64(32)) % np.uint64(meetings)).astype(np.int64)
+            order = np.lexsort((key.astype(np.uint32), part))
+            ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
+            for a, b in zip([0, *ends[:-1]], ends):
+                own = order[a:b]
+                mine, at = np.unique(who[own], return_inverse=True)
+                packed = b"".join(points[k] for k in mine) if points else None
+                out.append((kind, int(part[order[a]]), ids[mine].tobytes(), size[mine].astype(np.int32).tobytes(), packed, _squeezed(key[own].astype(np.uint32), at, left[own])))
+
+        met = np.unique(who_at)
+        if len(met):
+            place = np.full(len(rows), -1)
+            place[met] = np.arange(len(met))
+            own = Points.pack(flat[ranges((np.cumsum(size) - size)[met], size[met])], size[met])
+            point = [own[k] if k >= 0 else b"" for k in place]
+            out.append((_POINTS, -1, ids[met].tobytes(), size[met].astype(np.int32).tobytes(), b"".join(own), None))
+            # of those that both sets of a pair of one size can meet at
+            cool = np.flatnonzero((code <= hot) & (left + _EPS >= 2 * threshold / (1 + threshold) * size[who_at]))
+            order = cool[np.lexsort((_mix(key[cool] * _M1), who_at[cool]))]
+            first = np.searchsorted(who_at[order], who_at[order])
+            early = order[np.arange(len(order)) - first < FIRST]
+            sent(_EARLY, key[early], who_at[early], left[early], point)
         # a hot gram's sets meet in cells of a grid: set of slice s in all (s, .) and (., s)
         for c in np.unique(code[code > hot]):
             slices = 1 << (int(c) - hot)
@@ -300,81 +408,81 @@ def _prefixes(n: int, groups: int, parts: int, threshold: float, hot: int):
             cell = np.minimum(s, other) * slices + np.maximum(s, other) + 1
             key = np.concatenate([np.delete(key, at), _mix(np.repeat(key[at], slices) ^ _mix(cell.astype(np.uint64) * _M1))])
             who_at = np.concatenate([np.delete(who_at, at), np.repeat(who_at[at], slices)])
+            left = np.concatenate([np.delete(left, at), np.repeat(left[at], slices)])
             code = np.concatenate([np.delete(code, at), np.zeros(len(cell), np.int64)])
-        part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
-        out = []
-        for a, b in zip([0, *ends[:-1]], ends):
-            mine, at = np.unique(who_at[order[a:b]], return_inverse=True)
-            out.append((int(part[order[a]]), ids[mine].tobytes(), size[mine].astype(np.int32).tobytes(), point[mine].tobytes(), key[order[a:b]].astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes()))
+        if len(met):
+            sent(_ALL, key, who_at, left, None)
         release()
         return pa.table([pa.array(list(c), kind) for c, kind in zip(zip(*out) if out else [[]] * 6, kinds)], names)
 
     return run
 
 
-def connect(tokens: np.ndarray, sets: np.ndarray, point: np.ndarray, over: np.ndarray, size: np.ndarray, threshold: float, wide: int = 64) -> np.ndarray:
-    """Label of each set: sets that share a token and whose points allow the threshold are connected.
-
-    Only pairs of sets that aren't connected yet are looked at."""
+def apart(tokens: np.ndarray, sets: np.ndarray, left: np.ndarray, size: np.ndarray, threshold: float, label: Callable[[], np.ndarray], wide: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets that meet at a token, have different labels at the time and, by their sizes and the n-grams left from there on, may be
+    of the threshold; in portions, in each of which a pair comes once. Tokens whose sets all have one label take no more than a look at each."""
     order = np.argsort(tokens, kind="stable")
-    tokens, sets = tokens[order], sets[order]
+    tokens, sets, left = tokens[order], sets[order], left[order]
     starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
     count = np.diff(np.append(starts, len(tokens)))
-    groups = Groups(len(size))
-
-    def tested(a: np.ndarray, b: np.ndarray) -> None:
-        apart = groups.label[a] != groups.label[b]
-        if apart.any():
-            pair = np.unique(np.minimum(a[apart], b[apart]) * len(size) + np.maximum(a[apart], b[apart]))
-            a, b = pair // len(size), pair % len(size)
-            ok = _allowed(a, b, point, over, size, threshold)
-            groups.link(a[ok], b[ok])
-
-    def several(starts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens whose sets are of more than one group."""
-        if not len(starts):
-            return starts, count
-        label = groups.label[sets[ranges(starts, count)]]
-        at = np.cumsum(count) - count
-        many = np.minimum.reduceat(label, at) != np.maximum.reduceat(label, at)
-        return starts[many], count[many]
-
     starts, count = starts[count > 1], count[count > 1]
-    # a group of copies is connected by its neighbours in the order of sets, as a rule
-    tested(sets[ranges(starts, count - 1)], sets[ranges(starts + 1, count - 1)])
-    starts, count = several(starts, count)
+
+    def portion(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        other = label()[sets[i]] != label()[sets[j]]
+        i, j = i[other], j[other]
+        a, b = sets[i], sets[j]
+        # what they must share is at least the threshold's share of the larger one, so the sizes are within bounds, too
+        fits = np.minimum(left[i], left[j]) + _EPS >= threshold / (1 + threshold) * (size[a] + size[b])
+        pair = np.unique(np.minimum(a[fits], b[fits]) * len(size) + np.maximum(a[fits], b[fits]))
+        return pair // len(size), pair % len(size)
+
+    if len(starts):
+        # a group of copies is connected by its neighbours in the order of sets, as a rule
+        yield portion(ranges(starts, count - 1), ranges(starts + 1, count - 1))
+        own, at = label()[sets[ranges(starts, count)]], np.cumsum(count) - count
+        many = np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)
+        starts, count = starts[many], count[many]
     small = count <= wide
     for m in np.unique(count[small]):
         at = starts[small & (count == m)]
         i, j = np.triu_indices(m, 1)
         step = max(1, (1 << 20) // len(i))
         for k in range(0, len(at), step):
-            tested(sets[(at[k : k + step, None] + i).ravel()], sets[(at[k : k + step, None] + j).ravel()])
+            yield portion((at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel())
     for start, m in zip(starts[~small], count[~small]):
         own = sets[start : start + m]
         step = max(1, (1 << 20) // m)
         for k in range(0, m, step):
-            label = groups.label[own]
-            if (label == label[0]).all():
+            mine = label()[own]
+            if (mine == mine[0]).all():
                 break
-            i, j = np.nonzero(label[k : k + step, None] != label[None, :])
-            tested(own[k + i], own[j])
+            i, j = np.nonzero(mine[k : k + step, None] != mine[None, :])
+            yield portion(start + k + i, start + j)
+
+
+def connect(tokens: np.ndarray, sets: np.ndarray, left: np.ndarray, bound: Callable, size: np.ndarray, threshold: float) -> np.ndarray:
+    """Label of each set: sets that share a token and whose points allow the threshold are connected."""
+    groups = Groups(len(size))
+    for a, b in apart(tokens, sets, left, size, threshold, lambda: groups.label):
+        ok = _allowed(a, b, bound, size, threshold)
+        groups.link(a[ok], b[ok])
     return groups.label
 
 
-def _meet(groups: int, threshold: float):
+def _gathered(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and sizes of the sets that meet in a part; and of all meetings the token, the set and the n-grams left, in rows."""
+    ids, size = (np.frombuffer(b"".join(part[name].to_pylist()), kind).astype(np.int64) for name, kind in (("ids", np.int64), ("sizes", np.int32)))
+    met = [_spread(x).astype(np.int64) for x in part["met"].to_pylist()]
+    before = np.cumsum([0, *[len(x) // 8 for x in part["ids"].to_pylist()]])[:-1]
+    for m, n in zip(met, before):
+        m[1] += n
+    return ids, size, np.concatenate(met, axis=1)
+
+
+def _meet(threshold: float):
     def run(part: pa.Table) -> pa.Table:
-        joined = lambda name, kind: np.frombuffer(b"".join(part[name].to_pylist()), kind)
-        ids, size = joined("ids", np.int64), joined("sizes", np.int32).astype(np.int64)
-        half = joined("points", np.uint8).reshape(len(ids), groups // 2)
-        point = np.empty((len(ids), groups), np.uint8)
-        point[:, ::2], point[:, 1::2] = half >> 4, half & 15
-        lengths = [len(x) // 4 for x in part["tokens"].to_pylist()]
-        before = np.cumsum([0, *[len(x) // 8 for x in part["ids"].to_pylist()]])[:-1]
-        sets = joined("at", np.uint32).astype(np.int64) + np.repeat(before, lengths)
-        label = connect(joined("tokens", np.uint32), sets, point, size - point.sum(1, dtype=np.int64), size, threshold)
+        ids, size, met = _gathered(part)
+        label = connect(*met, Points(b"".join(part["points"].to_pylist()), size), size, threshold)
         lowest = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(lowest, label, ids)
         root = lowest[label]
@@ -385,6 +493,56 @@ def _meet(groups: int, threshold: float):
     return run
 
 
+def _strangers(threshold: float):
+    """Pairs of sets that meet, may be of the threshold, and aren't connected."""
+
+    def run(part: pa.Table, known: pa.Table) -> pa.Table:
+        found: list[np.ndarray] = []
+        if part.num_rows:
+            ids, size, met = _gathered(part)
+            order = np.argsort(ids)
+            label = ids.copy()
+            label[order[np.searchsorted(ids[order], np.asarray(known["set_id"], np.int64))]] = np.asarray(known["comp"], np.int64)
+            for a, b in apart(*met, size, threshold, lambda: label):
+                found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        release()
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return run
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        part = np.repeat(np.asarray(batch.column(0)), [len(x) for x in ids])
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], ["part", "set_id"])
+
+
+def _pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, sizes, points in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            size = np.frombuffer(sizes, np.int32)
+            ends = np.concatenate([[0], np.cumsum(1 << levels(size) >> 1)])
+            own = [points[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(size), pa.array(own, pa.binary())], ["set_id", "size", "point"])
+
+
+def _bounded(threshold: float):
+    """Of pairs with their points, those whose points allow the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                size = np.concatenate([np.asarray(part.column(c), np.int64) for c in (2, 4)])
+                points = Points(b"".join([*part.column(3).to_pylist(), *part.column(5).to_pylist()]), size)
+                a, b = np.arange(part.num_rows), np.arange(part.num_rows) + part.num_rows
+                yield part.select([0, 1]).filter(pa.array(_allowed(a, b, points, size, threshold)))
+
+    return run
+
+
 # -- verification
 
 
@@ -511,17 +669,35 @@ class _Corpus:
         """Texts and ``told``, together by block; only ``told`` is shuffled."""
         return self.texts.groupBy("block").cogroup(told.repartition(self.buckets, "block").groupBy("block"))
 
-    def connected(self, groups: int, threshold: float, hot: int) -> DataFrame:
+    def connected(self, threshold: float, hot: int) -> DataFrame:
         """(set_id, comp) of sets that may have a pair."""
+        # at most as many meetings as that in a part, about; there are fewer, as only one document has most n-grams of a prefix
+        total = self.sets.agg(F.sum("size")).first()[0] or 0
+        meetings = max(16, math.ceil(total * (1 - threshold) / self.task_grams))
         counted = self.made.where(F.col("kind") == _GRAMS).select("block", "part", "a", "b")
         told = counted.groupBy("part").applyInArrow(_frequencies, "block bigint, part int, a binary")
         rows = self.sets.select(F.shiftright("set_id", _ROW_BITS).alias("block"), F.col("set_id").bitwiseAND((1 << _ROW_BITS) - 1).cast("int").alias("row"))
         stands = rows.groupBy("block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
         stands = stands.mapInArrow(_as_bytes, "block bigint, part int, a binary")
-        met = self.by_block(told.unionByName(stands)).applyInArrow(_prefixes(self.n, groups, self.parts, threshold, hot), _MET)
-        edges = stage(met.groupBy("part").applyInArrow(_meet(groups, threshold), "a bigint, b bigint").distinct(), "met")
-        comps = components(edges, "a", "b")
-        discard(edges)
+        met = self.by_block(told.unionByName(stands)).applyInArrow(_prefixes(self.n, self.parts, meetings, threshold, hot), _MET)
+        spark, path = self.made.sparkSession, f"{shared_dir(self.made.sparkSession)}/stage-met-{uuid.uuid4().hex}"
+        met.write.partitionBy("kind").parquet(path)
+        discard(f"{self.path}/kind={_GRAMS}", spark=spark)
+        cleaned(spark)
+        met = spark.read.schema(_MET).parquet(path)
+        of = lambda kind, *names: met.where(F.col("kind") == kind).select(*names)
+        near = of(_EARLY, "part", "ids", "sizes", "points", "met").groupBy("part").applyInArrow(_meet(threshold), "a bigint, b bigint")
+        near = stage(near.distinct(), "near")
+        early = stage(components(near, "a", "b").select(F.col("doc_id").alias("set_id"), F.col("group_id").alias("comp")), "early")
+        known = of(_ALL, "part", "ids").mapInArrow(_placed, "part int, set_id bigint").join(broadcast_if_small(early), "set_id")
+        pairs = of(_ALL, "part", "ids", "sizes", "met").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_strangers(threshold), "a bigint, b bigint")
+        points = of(_POINTS, "ids", "sizes", "points").mapInArrow(_pointed, "set_id bigint, size int, point binary")
+        side = lambda n: points.select(F.col("set_id").alias(n), F.col("size").alias(f"{n}_size"), F.col("point").alias(f"{n}_point"))
+        pairs = stage(pairs.distinct(), "strangers").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "a_point", "b_size", "b_point")
+        more = stage(pairs.mapInArrow(_bounded(threshold), "a bigint, b bigint"), "more")
+        comps = components(near.unionByName(more), "a", "b")
+        discard(near, early, more)
+        discard(path, spark=spark)
         return comps.select(F.col("doc_id").alias("set_id"), F.col("group_id").alias("comp"))
 
     def verified(self, comps: DataFrame, groups: int, threshold: float, pairs: bool = False) -> DataFrame:
@@ -539,7 +715,8 @@ class _Corpus:
 
     def drop(self) -> None:
         self.made.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
-        discard(path=self.path, spark=self.made.sparkSession)
+        discard(self.path, spark=self.made.sparkSession)
+        cleaned(self.made.sparkSession)
 
 
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -551,15 +728,15 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _checked(threshold: float, groups: int) -> None:
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    if groups < 2 or groups % 2:
-        raise ValueError("groups must be an even number")
+    if groups < 1:
+        raise ValueError("groups must be positive")
 
 
 def _classes(docs: DataFrame, threshold: float, n: int, groups: int, hot: int, id_col: str, text_col: str, block_bytes: int, task_grams: int) -> DataFrame:
     """(doc_id, mark, least, n_links) of all rows with an id; least is the (doc_id, mark) that stands for the class."""
     _checked(threshold, groups)
     corpus = _Corpus(docs, n, id_col, text_col, block_bytes, task_grams)
-    comps = corpus.connected(groups, threshold, hot)
+    comps = corpus.connected(threshold, hot)
     links = corpus.verified(comps, groups, threshold)
     corpus.drop()
     # the cells of a group that was cut have labels of their own, which are links as well
@@ -605,7 +782,7 @@ def ngram_pairs(
     named by the smallest id that has it. Same rules as ``ngram_join``; as many rows as there are such pairs."""
     _checked(threshold, groups)
     corpus = _Corpus(docs, n, id_col, text_col, block_bytes, task_grams)
-    pairs = corpus.verified(corpus.connected(groups, threshold, hot), groups, threshold, True)
+    pairs = corpus.verified(corpus.connected(threshold, hot), groups, threshold, True)
     corpus.drop()
     names = corpus.sets.select("set_id", F.col("least.doc_id").alias("id"))
     left, right = names.select(F.col("set_id").alias("a"), F.col("id").alias("x")), names.select(F.col("set_id").alias("b"), F.col("id").alias("y"))
