@@ -106,7 +106,8 @@ def survivors(docs: DataFrame, counters: int = 1024, id_col: str = "doc_id", tex
 def dedup(docs: DataFrame, counters: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, but only one row of each distinct text.
 
-    Same rules as ``survivors``. The rows that go are found on (id, digest) alone; ``docs``
+    Same rules as ``survivors``: null texts stay, the smallest id of equal texts wins (a null id loses against any other), of rows that repeat
+    it one stays, an empty table stays empty. The rows that go are found on (id, digest) alone; ``docs``
     meets that list once in an anti join, which is broadcast if it is small.
     """
     d = fresh(docs, "digest")
@@ -117,17 +118,16 @@ def dedup(docs: DataFrame, counters: int = 1024, id_col: str = "doc_id", text_co
         "digests",
     )
     heavy = F.broadcast(stage(heavy_winners(digests, counters), "heavy").select("digest", "winner"))
-    hot_losers = digests.join(heavy, "digest").where(~F.col("doc_id").eqNullSafe(F.col("winner"))).select("doc_id", "digest")
     rest = (
-        digests.join(heavy, "digest", "left_anti")
+        digests.join(heavy.select("digest"), "digest", "left_anti")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("winner"), F.collect_list("doc_id").alias("ids"), F.count("*").alias("n"))
+        .agg(F.min("doc_id").alias("winner"), F.count("*").alias("n"))
         .where("n > 1")
     )
-    # collect_list leaves nulls out: a null id in a group that has another id loses, too
-    cold_losers = rest.select("digest", "winner", F.explode("ids").alias("doc_id")).where("doc_id <> winner").select("doc_id", "digest")
-    null_losers = rest.where("size(ids) < n and size(ids) > 0").select(F.lit(None).cast(digests.schema["doc_id"].dataType).alias("doc_id"), "digest")
-    losers = stage(hot_losers.unionByName(cold_losers).unionByName(null_losers).distinct(), "losers")
+    rest = stage(rest.select("digest", "winner"), "winners")
+    # a null id in a group that has another id loses, too
+    lost = lambda winners: digests.join(winners, "digest").where(~F.col("doc_id").eqNullSafe(F.col("winner"))).select("doc_id", "digest")
+    losers = stage(lost(heavy).unionByName(lost(broadcast_if_small(rest))).distinct(), "losers")
     # rows that repeat the winner's own id; as a rule there are none, and nothing more is done
     again = digests.join(losers, (digests["doc_id"].eqNullSafe(losers["doc_id"])) & (digests["digest"] == losers["digest"]), "left_anti")
     again = stage(again.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"), "repeated")
