@@ -92,18 +92,21 @@ def fair_order(
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, **options) -> DataFrame:
-    """The rows of ``docs`` (all columns) that are in the mixture.
+    """The rows of ``docs`` (all columns) that are in the mixture, in the order of their finish times.
 
     A source's share is a prefix of its shuffled order, so one cut per source tells which rows
-    stay: ``docs`` is filtered by a join with as many rows as there are sources, and its texts
-    are shuffled only if there are too many sources to broadcast.
+    stay: ``docs`` is filtered by a join with as many rows as there are sources, before its texts are shuffled: to their finish times, and to their
+    place in the order. Nulls, empty texts, repeated rows and empty tables count as in ``fair_order``; repeated rows all stay or all go.
     """
     kept = fair_order(docs, id_col=id_col, source_col=source_col, text_col=text_col, seed=seed, **options)
+    names = {n: fresh(docs, n) for n in ("key", "cut_source", "cut", "own_id", "own_source", "finish")}
     cuts = kept.groupBy("source").agg(F.max("shuffle_key").alias("cut"))
-    key = fresh(docs, "key")
-    keyed = docs.withColumn(key, _shuffle_key(docs[f"`{id_col}`"], seed))
-    cut = broadcast_if_small(stage(cuts.select(F.col("source").alias(fresh(docs, "cut_source")), F.col("cut").alias(fresh(docs, "cut"))), "cuts"))
-    return keyed.join(cut, keyed[f"`{source_col}`"].eqNullSafe(cut[cut.columns[0]]) & (keyed[key] <= cut[cut.columns[1]])).drop(key, *cut.columns)
+    cut = broadcast_if_small(stage(cuts.select(F.col("source").alias(names["cut_source"]), F.col("cut").alias(names["cut"])), "cuts"))
+    keyed = docs.withColumn(names["key"], _shuffle_key(docs[f"`{id_col}`"], seed))
+    inside = keyed.join(cut, keyed[f"`{source_col}`"].eqNullSafe(cut[cut.columns[0]]) & (keyed[names["key"]] <= cut[cut.columns[1]]))
+    times = kept.groupBy(F.col("doc_id").alias(names["own_id"]), F.col("source").alias(names["own_source"])).agg(F.max("finish_time").alias(names["finish"]))
+    timed = inside.join(times, inside[f"`{id_col}`"].eqNullSafe(times[names["own_id"]]) & inside[f"`{source_col}`"].eqNullSafe(times[names["own_source"]]))
+    return timed.orderBy(names["finish"], names["key"]).drop(*names.values())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
