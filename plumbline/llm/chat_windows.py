@@ -28,7 +28,8 @@ _SCHEMA = "conv_id {0}, window int, first_turn {1}, last_turn {1}, n_history int
 
 def spans(sizes: np.ndarray, budget: int, history: int, history_share: float) -> list[tuple[int, int, int]]:
     """(first, end, history from) of the windows over turns of these sizes; ``budget`` is what is left beside
-    the system turn. A turn that is too long for it even alone has a window of its own, whole."""
+    the system turn, nothing if that turn alone is as long as the budget or longer. A turn that is too long for it even alone has a window of its own, whole."""
+    budget = max(0, budget)
     before = np.concatenate([[0], np.cumsum(sizes)])
     out, at, n = [], 0, len(sizes)
     while at < n:
@@ -123,7 +124,7 @@ def chat_windows(
 
     Every turn but the system turn is new in exactly one window. The first system turn is in all of a conversation's windows; any
     further one is an ordinary turn. A turn that doesn't fit even alone isn't cut: its window has it
-    whole and is marked over_budget. Turns sort by number (null first), then role and text, so ties and
+    whole and is marked over_budget; where the system turn alone fills the budget, every turn has such a window. Turns sort by number (null first), then role and text, so ties and
     repeated rows have a fixed order and repeated rows stay. A null role counts as user, a null text as empty; turns
     without a conv_id belong to no conversation and are left out. A conversation of a system turn
     alone gives one window without targets; an empty table gives none. Other columns play no part.
