@@ -175,7 +175,7 @@ def _sampled(chunk_bytes: int):
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chunk_bytes: int = 8 << 20) -> Field:
     """The field fitted on at most ``max_docs`` labelled documents; of rows that repeat an id in ``labels``
-    the smallest label counts. Without labelled documents every line is as likely good as bad."""
+    the smallest label counts; other labels than 0 and 1, and null ids, don't; of documents that repeat an id each is used; texts without a line add nothing. Without labelled documents every line is as likely good as bad."""
     known = narrow(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     own = narrow(docs, doc_id=id_col, text=text_col).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
@@ -217,8 +217,8 @@ def classify(docs: DataFrame, field: Field, keep: float = KEEP, id_col: str = "d
     """(doc_id, quality, keep, n_lines, bad_lines) of every row.
 
     quality is the length-weighted mean probability that a line is good; bad_lines numbers (from 0) the lines
-    more likely bad than good. Blank lines don't count; a text without any other (null, empty, blank) has
-    quality 0 and isn't kept. Repeated rows are classified each; an empty table gives none. Other
+    more likely bad than good (a line at exactly a half is good). Blank lines don't count; a text without any other (null, empty, blank) has
+    quality 0 and isn't kept. Repeated rows, and rows with a null id, are classified each; an empty table gives none. Other
     columns play no part.
     """
     own = narrow(docs, doc_id=id_col, text=text_col)
@@ -241,9 +241,11 @@ def _kept(field: Field, keep: float, text_at: int, chunk_bytes: int):
 
 
 def keep_good(docs: DataFrame, field: Field, keep: float = KEEP, text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of ``docs`` (all columns) that ``classify`` keeps, in one pass."""
+    """The rows of ``docs`` (all columns) that ``classify`` keeps, in one pass: a quality of exactly ``keep`` is enough, texts without a line go, repeated
+    rows are judged each, ids play no part. The text's column is found whatever the case of its name, the exact one first."""
     importable(docs.sparkSession)
-    return docs.mapInArrow(_kept(field, keep, docs.columns.index(text_col), chunk_bytes), docs.schema)
+    at = docs.columns.index(text_col) if text_col in docs.columns else [c.lower() for c in docs.columns].index(text_col.lower())
+    return docs.mapInArrow(_kept(field, keep, at, chunk_bytes), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

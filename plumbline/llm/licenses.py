@@ -1,6 +1,7 @@
 """License scan: an exact set-similarity (containment) join of text blocks with templates.
 
-Tokens are ordered by their frequency over all blocks, rarest first. A block B contains at
+Tokens are ordered by their frequency, rarest first, over all blocks that have enough template tokens to match any template; any order
+gives the same result. A block B contains at
 least ``threshold`` of template T only if they share alpha = ceil(threshold * |T|) tokens, so
  - one of T's first |T| - alpha + 1 tokens is among B's tokens (prefix filter),
  - B has at least alpha tokens (length filter),
@@ -90,7 +91,7 @@ def license_scan(
     holds at least ``threshold`` of a template's distinct tokens.
 
     A block is a line, or (line_no -1) a paragraph of several lines; paragraphs end at blank lines,
-    and both are numbered from 0. Null and empty texts have no blocks. Repeated rows (same id and text) give
+    and both are numbered from 0. Null and empty texts have no blocks. Rows with a null id are scanned like any others. Tokens of equal frequency are ordered by themselves. Repeated rows (same id and text) give
     their matches once. A text of any length is scanned whole. No documents, or no templates with a
     token, give an empty result. Other columns play no part.
     """

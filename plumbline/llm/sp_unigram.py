@@ -421,8 +421,9 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tex
 
     A null text gives null token_ids and round_trip with n_tokens 0; the empty text an empty list.
     Equal sums of scores are settled by the longer last piece, so results never vary. Repeated
-    rows are encoded each; an empty table gives none. Other columns play no part. A text that has
-    the marker character itself decodes with a space in its place: round_trip is then false.
+    rows, and rows with a null id, are encoded each; an empty table gives none. Other columns play no part. A text that has
+    the marker character itself decodes with a space in its place: round_trip is then false. White space becomes the marker one for one and a
+    marker is put first, whatever the normaliser settings in the model file say; so texts decode to what they were.
     """
     own = narrow(docs, doc_id=id_col, text=text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -430,7 +431,8 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tex
 
 
 def decode(tokens: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """(doc_id, text) of id lists; a null list gives a null text. Bytes that form no UTF-8 become U+FFFD."""
+    """(doc_id, text) of id lists; a null list gives a null text, an empty one the empty text. Bytes that form no UTF-8 become U+FFFD. Repeated
+    rows and null ids are decoded each; an empty table gives none; other columns play no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = model(model_path)

@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, narrow, release, strings, table
+from ..workers import importable
+from .common import chunks, list_array, narrow, release, strings, table
 from .spans import SpanCache, per_group
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -210,24 +211,34 @@ def write_shards(
     )
 
 
-def read_documents(shards: DataFrame, doc_ids: Iterable[int] | None = None) -> DataFrame:
-    """(doc_id, token_ids) of the requested documents (None: all); other frames stay compressed."""
-    wanted = None if doc_ids is None else set(doc_ids)
+def read_documents(shards: DataFrame, doc_ids: DataFrame | Iterable[int] | None = None) -> DataFrame:
+    """(doc_id, token_ids) of the requested documents (None: all); other frames stay compressed.
+
+    ``doc_ids`` is a table with a doc_id column, or a few ids. Ids that no shard has, and null ids, give nothing; repeated requests count once; an id
+    with several frames gives each. Where the frames are is found on the ids alone; then every shard that has one is read once.
+    """
+    kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
+    own = shards.select("shard", "doc_ids", "id_bytes", "data")
+    if doc_ids is None:
+        own = own.withColumn("frames", F.sequence(F.lit(0), F.size("doc_ids") - 1))
+    else:
+        spark = shards.sparkSession
+        wanted = doc_ids.select(F.col("doc_id").cast(kind).alias("doc_id")) if isinstance(doc_ids, DataFrame) else spark.createDataFrame([(i,) for i in doc_ids], f"doc_id {kind}")
+        places = shards.select("shard", F.posexplode("doc_ids").alias("frame", "doc_id")).join(wanted.distinct(), "doc_id")
+        own = own.join(places.groupBy("shard").agg(F.array_sort(F.collect_list("frame")).alias("frames")), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, width, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                shard = Shard(data.as_buffer().to_pybytes(), f"<u{width}")
-                own = [(i, shard[k].astype(np.int32)) for k, i in enumerate(ids) if wanted is None or i in wanted]
-                if own:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([i for i, _ in own], b.column(0).type.value_type), pa.array([t for _, t in own], pa.list_(pa.int32()))], ["doc_id", "token_ids"]
-                    )
-
-    kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
-    if wanted is not None:
-        shards = shards.where(F.arrays_overlap("doc_ids", F.array(*[F.lit(i) for i in sorted(wanted)]).cast(f"array<{kind}>")) if wanted else F.lit(False))
-    return shards.select("doc_ids", "id_bytes", "data").mapInArrow(run, f"doc_id {kind}, token_ids array<int>")
+            for k in range(b.num_rows):
+                frames = np.asarray(b.column("frames")[k].values, np.int64)
+                shard = Shard(memoryview(b.column("data")[k].as_buffer()), f"<u{b.column('id_bytes')[k].as_py()}")
+                tokens = [shard[i].astype(np.int32) for i in frames]
+                ids = b.column("doc_ids")[k].values.take(pa.array(frames))
+                size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+                yield pa.RecordBatch.from_arrays([ids, list_array(pa.array(np.concatenate(tokens)), size)], ["doc_id", "token_ids"])
+
+    importable(shards.sparkSession)
+    return own.mapInArrow(run, f"doc_id {kind}, token_ids array<int>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
