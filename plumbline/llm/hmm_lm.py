@@ -25,7 +25,6 @@ broadcast: each block of documents gets the counts of its own words by a shuffle
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -36,9 +35,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import chunks, list_array, narrow, release, shared_dir, stage, table
+from .common import chunks, cleaned, discard, list_array, narrow, release, shared_dir, stage, table
 
 STATES, ITERATIONS, HEAVY_SHARE, ENDINGS, SEED = 4, 3, 4096, 1024, 11
 #: Text per block of documents, in bytes.
@@ -161,8 +159,7 @@ def expect(layout: Layout, symbols: np.ndarray, first: np.ndarray, steps: np.nda
 @dataclass
 class Model:
     """first (K), steps (K x K), emission (symbols x K); the heavy words' hashes, ascending; corpus words and
-    distinct words of each symbol; and the corpus count of each word of each block, as a written table
-    (block, code, n, ending, word), in which one row of each word has its hash."""
+    distinct words of each symbol; and the corpus count of every word, as a written table (word, ending, n)."""
 
     first: np.ndarray
     steps: np.ndarray
@@ -171,14 +168,9 @@ class Model:
     mass: np.ndarray
     distinct: np.ndarray
     endings: int
-    located: DataFrame
+    counts: DataFrame
     likelihoods: list[float]
 
-    @property
-    def counts(self) -> DataFrame:
-        """(word, n) of every word of the corpus."""
-        return self.located.where("word is not null").select("word", "n")
-
     def symbols(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
         return _symbols(self.heavy, hashes, endings)
 
@@ -236,11 +228,9 @@ def _buckets(spark: SparkSession) -> int:
 
 def train(blocks: DataFrame, states: int = STATES, iterations: int = ITERATIONS, heavy_share: int = HEAVY_SHARE, endings: int = ENDINGS, seed: int = SEED) -> Model:
     """Baum-Welch over all blocks; the likelihood never falls from one iteration to the next."""
-    told = blocks.select("block", F.posexplode(F.arrays_zip("words", "endings", "counts")).alias("code", "w")).select("block", "code", "w.*")
-    alike = Window.partitionBy("words")
-    located = told.select("block", "code", "endings", "words", F.sum("counts").over(alike).alias("n"), F.row_number().over(alike.orderBy("block")).alias("r"))
-    located = stage(located.select("block", "code", "n", F.col("endings").alias("ending"), F.when(F.col("r") == 1, F.col("words")).alias("word")), "word-counts")
-    counts = located.where("word is not null").select("word", "ending", "n")
+    # added up within each partition first, so that a word that every block has is no hot key
+    told = blocks.select(F.explode(F.arrays_zip("words", "endings", "counts")).alias("w"))
+    counts = stage(told.groupBy(F.col("w.words").alias("word")).agg(F.first("w.endings").alias("ending"), F.sum("w.counts").alias("n")), "word-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") > F.lit(total / heavy_share)).select("word", "n").toArrow()
     order = np.argsort(np.asarray(hot["word"], np.int64))
@@ -272,7 +262,7 @@ def train(blocks: DataFrame, states: int = STATES, iterations: int = ITERATIONS,
         emission[key[key >= 0]] += values[key >= 0]
         emission /= emission.sum(0)
         likelihoods.append(float(by[-1000][0]))
-    return Model(first, steps, emission, heavy, mass, distinct, endings, located, likelihoods)
+    return Model(first, steps, emission, heavy, mass, distinct, endings, counts, likelihoods)
 
 
 def _likelihood(first, steps, emission, heavy, mass, distinct):
@@ -305,18 +295,16 @@ def _likelihood(first, steps, emission, heavy, mass, distinct):
     return run
 
 
-def score(blocks: DataFrame, model: Model, trained_on: bool = False) -> DataFrame:
+def score(blocks: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_words, log_likelihood, perplexity) of every document of the blocks.
 
     The likelihood is that of the whole word sequence, by the scaled forward recursion; words are white-space
     separated, in lower case. A null, empty or blank text has no words, log likelihood 0 and a null
     perplexity. Repeated rows, and null ids, are scored each. A word that the model hasn't seen has its symbol's share
-    for unseen words. ``trained_on``: these are the very blocks that the model was trained on, whose word counts are at hand.
+    for unseen words.
     """
     # each block gets the counts of its own words
-    own = model.located
-    if not trained_on:
-        own = blocks.select("block", F.posexplode("words").alias("code", "word")).join(model.counts, "word")
+    own = blocks.select("block", F.posexplode("words").alias("code", "word")).join(model.counts, "word")
     known = own.select("block", F.struct("code", "n").alias("k")).groupBy("block").agg(F.collect_list("k").alias("known"))
     joined = blocks.select("block", "doc_ids", "lengths", "codes", "words", "endings").join(known, "block", "left")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
@@ -378,16 +366,6 @@ def _summed(sent: DataFrame) -> DataFrame:
     return stage(sent.groupBy("part").applyInArrow(_add, "part int, block bigint, data binary"), "word-states")
 
 
-def _dropped(used: DataFrame) -> None:
-    """Delete a written table that isn't read again, and let Spark drop the shuffles of jobs that have ended."""
-    spark, files = used.sparkSession, used.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _emitted(block: pa.Table, told: pa.Table, classes: tuple, total: np.ndarray | None, parts: int) -> np.ndarray:
     """P(word | state) of a block's words. Without totals, what is told is the words' corpus counts, and the start of training is meant."""
     emission, heavy, mass, distinct = classes
@@ -444,7 +422,8 @@ def train_words(blocks: DataFrame, classes: Model, settled: float = SETTLED, mos
     for _ in range(most if pairs else 0):
         run = _expected_words(first, steps, total, fixed, parts)
         after = _summed(_by_block(blocks, told, ["lengths", "codes", "words", "endings"]).applyInArrow(run, sent_type))
-        _dropped(told)
+        discard(told)
+        cleaned(blocks.sparkSession)
         told = after
         figures = np.frombuffer(bytes(told.where("part < 0").first()["data"]))
         first = figures[:states] / figures[:states].sum()
@@ -489,7 +468,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Train on ``docs`` and score each of them. An empty table gives an empty result; other columns play no part."""
     blocks = encode(docs, endings, id_col, text_col, block_bytes)
     classes = train(blocks, endings=endings, **options)
-    _dropped(classes.located)
+    discard(classes.counts)
     model = train_words(blocks, classes)
     return score_words(blocks, model)
 
