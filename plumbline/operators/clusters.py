@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from ..config import IvfConfig
 from ..errors import IndexError_, ValidationError
 from ..functions.metrics import block_distance
+from ..shared import stage
 from ..workers import map_arrow
 from .knn import DECIMALS, group_search, prepared
 
+#: Rows that seeds are drawn from.
+SEED_ROWS = 20_000
+
 Centroids = Sequence[Sequence[float]]
 
 
@@ -71,59 +75,65 @@ def ivf_search(queries: DataFrame, assigned: DataFrame, centroids: Centroids, k:
     return group_search(probed, assigned.select("cluster_id", "id", "vec"), ["cluster_id"], k, metric)
 
 
-def _step(centroids: np.ndarray, metric: str):
-    """Partial sums of each cluster over one partition."""
+def _step(centres: list[np.ndarray], cuts: list[tuple[int, int]], metric: str):
+    """Partial sums of each cluster of each part over one partition."""
     block = block_distance(metric)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, dims = centroids.shape
-        total, count, cost = np.zeros((k, dims)), np.zeros(k, np.int64), 0.0
+        sums = [np.zeros_like(c) for c in centres]
+        counts = [np.zeros(len(c), np.int64) for c in centres]
         for b in batches:
-            x = np.asarray(b.column(0).flatten(), np.float64).reshape(-1, dims)
+            x = np.asarray(b.column(0).flatten(), np.float64).reshape(b.num_rows, -1)
             for at in range(0, len(x), 4096):
-                part = x[at : at + 4096]
-                d = block(part, centroids)
-                near = d.argmin(1)
-                np.add.at(total, near, part)
-                count += np.bincount(near, minlength=k)
-                cost += float(d[np.arange(len(part)), near].sum())
-        yield pa.RecordBatch.from_pydict({"k": np.arange(k), "n": count, "total": list(total), "cost": np.full(k, cost / k)}, pa.schema([("k", pa.int64()), ("n", pa.int64()), ("total", pa.list_(pa.float64())), ("cost", pa.float64())]))
+                for m, (a, e) in enumerate(cuts):
+                    part = x[at : at + 4096, a:e]
+                    near = block(part, centres[m]).argmin(1)
+                    np.add.at(sums[m], near, part)
+                    counts[m] += np.bincount(near, minlength=len(centres[m]))
+        rows = [(m, k, int(counts[m][k]), sums[m][k].tolist()) for m in range(len(cuts)) for k in np.flatnonzero(counts[m]).tolist()]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["part", "k", "n", "total"])
 
     return run
 
 
-def lloyd(vectors: DataFrame, clusters: int, metric: str, iterations: int, threshold: float, seed: int, sample: int = 20_000) -> list[list[float]]:
-    """k-means over an (id, vec) table. Seeds are drawn by k-means++ from a bounded sample; every Lloyd step reads all rows
-    and brings back one sum per cluster and partition. An empty cluster keeps its centre."""
-    some = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("vec").toArrow()
-    if not len(some):
-        raise IndexError_("there are no vectors to train on")
-    x = np.array(some["vec"].to_pylist(), np.float64)
-    rng = np.random.default_rng(seed)
-    k = min(clusters, len(x))
+def _seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ over a sample."""
     seeds = [x[rng.integers(len(x))]]
     gap = ((x - seeds[0]) ** 2).sum(1)
     while len(seeds) < k:
         share = gap / gap.sum() if gap.sum() > 0 else np.full(len(x), 1 / len(x))
         seeds.append(x[rng.choice(len(x), p=share)])
         gap = np.minimum(gap, ((x - seeds[-1]) ** 2).sum(1))
-    centres = np.array(seeds)
-    own = vectors.select("vec").persist()
+    return np.array(seeds)
+
+
+def lloyd(vectors: DataFrame, clusters: int, metric: str, iterations: int, threshold: float, seed: int, sample: int = SEED_ROWS, parts: int = 1) -> list[list[list[float]]]:
+    """k-means over an (id, vec) table, for each of ``parts`` equal parts of the vectors at once. Seeds are drawn by k-means++ from a bounded sample
+    (``sample`` rows: where to start, no more); every Lloyd step reads all rows
+    and brings back at most one sum per cluster and partition. An empty cluster keeps its centre."""
+    some = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("vec").toArrow()
+    if not len(some):
+        raise IndexError_("there are no vectors to train on")
+    x = np.array(some["vec"].to_pylist(), np.float64)
+    width = x.shape[1] // parts
+    cuts = [(m * width, (m + 1) * width) for m in range(parts)]
+    centres = [_seeds(x[:, a:e], min(clusters, len(x)), np.random.default_rng(seed + m)) for m, (a, e) in enumerate(cuts)]
+    own = stage(vectors.select("vec"), "training")
     for _ in range(iterations):
-        rows = map_arrow(own, _step(centres, metric), "k bigint, n bigint, total array<double>, cost double").toArrow()
-        total, count = np.zeros_like(centres), np.zeros(k)
-        for c, n, t in zip(rows["k"].to_pylist(), rows["n"].to_pylist(), rows["total"].to_pylist()):
-            total[c] += t
-            count[c] += n
-        moved = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres)
-        shift = float(np.abs(moved - centres).max())
+        rows = map_arrow(own, _step(centres, cuts, metric), "part int, k int, n bigint, total array<double>").toArrow()
+        total, count = [np.zeros_like(c) for c in centres], [np.zeros(len(c)) for c in centres]
+        for m, k, n, t in zip(*(rows[c].to_pylist() for c in ("part", "k", "n", "total"))):
+            total[m][k] += t
+            count[m][k] += n
+        moved = [np.where(n[:, None] > 0, t / np.maximum(n, 1)[:, None], c) for c, t, n in zip(centres, total, count)]
+        shift = max(float(np.abs(a - c).max()) for a, c in zip(moved, centres))
         centres = moved
         if shift < threshold:
             break
-    own.unpersist()
-    return centres.tolist()
+    return [c.tolist() for c in centres]
 
 
 def train(data: DataFrame, config: IvfConfig, id_col: str = "id", vector_col: str = "vector") -> list[list[float]]:
     """Centroids for the configured metric."""
-    return lloyd(prepared(data, id_col, vector_col), config.num_clusters, config.metric, config.max_iterations, config.threshold, config.seed)
+    return lloyd(prepared(data, id_col, vector_col), config.num_clusters, config.metric, config.max_iterations, config.threshold, config.seed)[0]

@@ -13,7 +13,7 @@ from ..errors import QuantizationError
 from ..functions.metrics import cosine_distance, squared_euclidean
 from ..workers import map_arrow
 from .clusters import literal, lloyd
-from .knn import DECIMALS, pack, prepared, top_k
+from .knn import DECIMALS, measured, pack, prepared, top_k
 
 
 def _array(values: Sequence[float]) -> Column:
@@ -71,8 +71,7 @@ class ProductQuantizer:
     def train(cls, data: DataFrame, dims: int, parts: int = 8, words: int = 256, iterations: int = 100, threshold: float = 0.001, seed: int = 42, id_col: str = "id", vector_col: str = "vector") -> ProductQuantizer:
         if dims % parts:
             raise QuantizationError(f"{dims} dimensions can't be cut into {parts} equal parts")
-        own, width = prepared(data, id_col, vector_col), dims // parts
-        return cls([lloyd(own.select("id", F.slice("vec", m * width + 1, width).alias("vec")), words, "euclidean", iterations, threshold, seed + m) for m in range(parts)])
+        return cls(lloyd(prepared(data, id_col, vector_col), words, "euclidean", iterations, threshold, seed, parts=parts))
 
     def encode(self, vec: Column) -> Column:
         """Codes (array<int>); the lowest number wins a tie."""
@@ -115,5 +114,26 @@ class ProductQuantizer:
         met = pack(q).crossJoin(pack(c).withColumnsRenamed({"ids": "p_ids", "flat": "p_flat"}))
         return top_k(map_arrow(met, run, f"query_id {types[0]}, id {types[1]}, distance double"), k).select("query_id", "rank", "id", "distance")
 
+    def encoded(self, data: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+        """(id, codes) of every row, in Arrow batches: for large codebooks, of which ``encode`` would make as many literals."""
+        books = np.array(self.codebooks)
+        own = prepared(data, id_col, vector_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, self.parts, 1, self.width)
+                codes = [np.round(((x[k : k + 512] - books[None]) ** 2).sum(3), 9).argmin(2) for k in range(0, len(x), 512)]
+                flat = np.concatenate(codes).ravel().astype(np.int32) if codes else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array((np.arange(b.num_rows + 1) * self.parts).astype(np.int32)), pa.array(flat))], ["id", "codes"])
+
+        return map_arrow(own, run, f"id {own.schema['id'].dataType.simpleString()}, codes array<int>")
+
+    def search_reranked(self, queries: DataFrame, data: DataFrame, codes: DataFrame, k: int, spare: int = 20, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+        """(query_id, rank, id, distance): of the ``spare`` x k nearest rows by asymmetric distance the k nearest by their Euclidean distance."""
+        near = self.search(queries, codes, spare * k, id_col, vector_col).select("query_id", "id")
+        q = prepared(queries, id_col, vector_col).select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
+        pairs = near.join(q, "query_id").join(prepared(data, id_col, vector_col), "id")
+        return top_k(measured(pairs, "euclidean"), k).select("query_id", "rank", "id", "distance")
+
     def stats(self) -> dict[str, float]:
         return {"parts": self.parts, "words": len(self.codebooks[0]), "compression_ratio": self.width * 8.0}

@@ -11,19 +11,21 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ingest
 from ..config import ForestConfig, GraphConfig, IvfConfig, LshConfig
 from ..functions import metrics, text
-from ..functions.validation import vector_problem
+from ..functions.validation import metadata_problem, vector_problem
 from ..operators import clusters, forest, graph, knn, lsh, quantize
 from ..operators import table as rows
 from ..shared import shared_dir, stage
 from ..sources import files
 from ..sources.documents import extract_html
 from ..streaming.ingest import endpoint, figures
+from ..workers import map_arrow
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,6 +116,12 @@ def matrix(spark, d):
     return knn.similarity_matrix(v, v)
 
 
+@_query("knn_similarity", f"WITH {_V}, p AS (SELECT a.id AS query_id, b.id AS id, {_rounded(_SQL_METRICS['cosine'])} AS distance FROM v a CROSS JOIN v b), t AS ({_top('p')}) SELECT query_id, rank, id, round(1 - distance, 6) + 0.0 AS similarity FROM t")
+def knn_similarity(spark, d):
+    """Results as similarities, 1 - distance."""
+    return _knn("cosine")(spark, d).select("query_id", "rank", "id", (F.round(1 - F.col("distance"), 6) + 0.0).alias("similarity"))
+
+
 @_query("anomaly_threshold", f"WITH {_V}, {_pairs('cosine', 'v a JOIN v b ON a.id <> b.id')} SELECT query_id AS id, min(distance) AS distance FROM p GROUP BY query_id HAVING min(distance) > 0.5")
 def anomaly(spark, d):
     return knn.anomalies(vectors(spark, d), 0.5)
@@ -398,11 +406,28 @@ def pq_search(spark, d):
 
 @_query("pq_trained")
 def pq_trained(spark, d):
-    """Codebooks trained by k-means and the mean error of the round trip; the seeds are random, so there is no SQL."""
+    """Codebooks of production size, trained by k-means, and the error of the round trip; the seeds are random, so there is no SQL."""
+    v = vectors(spark, d)
+    q = quantize.ProductQuantizer.train(v, DIMS, PARTS)
+    books = q.codebooks
+    back = v.select("id", "vector").join(q.encoded(v), "id")
+
+    def error(batches):
+        for b in batches:
+            x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
+            code = np.asarray(b.column(2).flatten()).reshape(b.num_rows, PARTS)
+            y = np.concatenate([np.array(books[m])[code[:, m]] for m in range(PARTS)], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(np.sqrt(((x - y) ** 2).sum(1)), 6))], ["id", "error"])
+
+    return map_arrow(back.select("id", "vector", "codes"), error, "id bigint, error double")
+
+
+@_query("pq_search_reranked")
+def pq_reranked(spark, d):
+    """Codebooks trained on all rows, and a candidate list settled by true distances. Held against brute force (recall), so there is no SQL."""
     v = vectors(spark, d)
-    q = quantize.ProductQuantizer.train(v, DIMS, PARTS, 16, 5)
-    back = v.select("id", "vector", q.decode(q.encode(F.col("vector"))).alias("back"))
-    return back.select("id", F.round(metrics.euclidean_distance(F.col("vector"), F.col("back")), 6).alias("error"))
+    q = quantize.ProductQuantizer.train(v, DIMS, PARTS)
+    return q.search_reranked(v, v, stage(q.encoded(v), "codes"), K)
 
 
 # -- rows --
@@ -522,6 +547,16 @@ def storage_stats(spark, d):
     return rows.storage_stats(_base(spark, d))
 
 
+@_query(
+    "validate_metadata",
+    "SELECT doc_id, CASE WHEN length(source) > 10000 OR length(text) > 10000 THEN 'long value' ELSE 'ok' END AS verdict FROM documents WHERE text IS NOT NULL AND source IS NOT NULL",
+)
+def validated_metadata(spark, d):
+    docs = _table(spark, d, "documents").where("text is not null and source is not null")
+    meta = F.create_map(F.lit("source"), "source", F.lit("text"), "text")
+    return docs.select("doc_id", F.coalesce(metadata_problem(meta), F.lit("ok")).alias("verdict"))
+
+
 @_query("validate_vectors", f"WITH {_V} SELECT id, CASE WHEN e IS NULL THEN 'null' WHEN len(e) = 0 THEN 'empty' WHEN len(e) <> {DIMS} THEN 'wrong length' WHEN list_sum(list_transform(e, lambda x: (NOT isfinite(x))::INT)) > 0 THEN 'not finite' ELSE 'ok' END AS verdict FROM v")
 def validated(spark, d):
     return vectors(spark, d).select("id", F.coalesce(vector_problem(F.col("vector"), DIMS), F.lit("ok")).alias("verdict"))
@@ -564,6 +599,23 @@ def chunk_paragraphs(spark, d):
     return text.chunk_paragraphs(turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text")), id_col="conv_id")
 
 
+_PARAGRAPHS = r"""WITH RECURSIVE t AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id),
+raw AS (SELECT conv_id, unnest(p) AS p, generate_subscripts(p, 1) AS pos FROM (SELECT conv_id, string_split_regex(text, '\n[ \t\n\v\f\r]*\n+') AS p FROM t)),
+stripped AS (SELECT conv_id, pos, regexp_replace(p, '^\s+|\s+$', '', 'g') AS s FROM raw),
+lengthy AS (SELECT conv_id, pos, s FROM stripped WHERE length(s) >= 10
+         UNION ALL SELECT conv_id, 1, regexp_replace(text, '^\s+|\s+$', '', 'g') FROM t WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 10 AND conv_id NOT IN (SELECT conv_id FROM stripped WHERE length(s) >= 10)),
+kept AS (SELECT conv_id, s, length(s) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS i FROM lengthy),
+packed AS (SELECT conv_id, i, 0 AS chunk, n AS size FROM kept WHERE i = 1
+           UNION ALL SELECT k.conv_id, k.i, p.chunk + (p.size + k.n > 2000)::INT, CASE WHEN p.size + k.n > 2000 THEN k.n ELSE p.size + k.n + 2 END FROM packed p JOIN kept k ON k.conv_id = p.conv_id AND k.i = p.i + 1)
+SELECT conv_id, chunk::INT AS chunk_index, string_agg(s, chr(10) || chr(10) ORDER BY i) AS chunk, count(*)::INT AS parts FROM packed JOIN kept USING (conv_id, i) GROUP BY conv_id, packed.chunk"""
+
+
+@_query("paragraph_chunk_texts", _PARAGRAPHS)
+def paragraph_texts(spark, d):
+    """The same chunks without their places in the text, which SQL can't follow."""
+    return chunk_paragraphs(spark, d).select("conv_id", "chunk_index", "chunk", "parts")
+
+
 def _terms_sql(source: str, ident: str, column: str, out: str) -> str:
     """(doc, term, n, total) of a relation."""
     return f"""{out}_t AS (SELECT {ident} AS doc, {column} AS txt, string_split_regex(lower({column}), '[\\W_]+') AS t FROM {source}),

@@ -210,5 +210,12 @@ def test_wide_inverted_lists_recall(spark):
     assert recall(spark, "ivf_search_wide") >= 0.9
 
 
+def test_quantized_recall(spark):
+    from plumbline.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    assert catalogue._recall(catalogue.QUERIES["pq_search_reranked"](spark, d), catalogue.QUERIES["knn_euclidean"](spark, d)).first()["recall"] >= 0.9
+
+
 def test_forest_recall(spark):
     assert recall(spark, "annoy_search", "sf0.1") >= 0.9
