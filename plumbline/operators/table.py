@@ -1,6 +1,7 @@
 """A table of (id, vector, metadata) as immutable Parquet versions.
 
-Every change is a join that gives the next version; readers keep the one they have. A version counts once its
+A version is a list of layers: rows, or ids of deleted rows, written once. A change adds a layer of its own size, without rewriting the table; reading
+leaves out rows whose id a later layer has. At ``MAX_LAYERS`` the change is merged into one layer again. Readers keep the version they have. A version counts once its
 number's entry is written, so a job that dies half way leaves the table as it was. An entry is created exclusively, under
 the number after the version that the change was made from: of two writers that start from the same version
 one fails with a StorageError, and none is lost. Metadata is JSON text.
@@ -21,6 +22,8 @@ from pyspark.storagelevel import StorageLevel
 from ..errors import StorageError, ValidationError
 
 SCHEMA = "id string, vector array<double>, metadata string"
+#: Layers of a version; the change that would add one more merges them.
+MAX_LAYERS = 8
 #: An entry of a version that is still empty after so long belongs to a writer that died.
 STALE_MS = 60_000
 
@@ -37,9 +40,14 @@ def conform(rows: DataFrame) -> DataFrame:
     return rows.select(ident.alias("id"), F.col("vector").cast("array<double>").alias("vector"), meta.alias("metadata"))
 
 
+def once_each(rows: DataFrame) -> DataFrame:
+    """Of rows that repeat an id one of the least (vector, metadata)."""
+    return rows.groupBy("id").agg(F.min_by(F.struct("vector", "metadata"), F.struct("vector", "metadata")).alias("r")).select("id", "r.vector", "r.metadata")
+
+
 def upsert(base: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` take the place of rows of the same id; of rows that repeat an id one of the least (vector, metadata) stays."""
-    once = rows.groupBy("id").agg(F.min_by(F.struct("vector", "metadata"), F.struct("vector", "metadata")).alias("r")).select("id", "r.vector", "r.metadata")
+    once = once_each(rows)
     return base.join(once.select("id"), "id", "left_anti").unionByName(once)
 
 
@@ -132,8 +140,19 @@ class VectorTable:
         entries = self._entries()
         return int(entries[-1]) if entries else 0
 
-    def _folder(self, version: int) -> str:
-        return self.spark.read.text(f"{self.path}/_versions/{version:09d}").first()[0]
+    def _layers(self, version: int) -> list[str]:
+        """Folders of a version, oldest first: v... has rows, g... has ids of deleted ones."""
+        return self.spark.read.text(f"{self.path}/_versions/{version:09d}").first()[0].split() if version else []
+
+    def _merged(self, version: int) -> DataFrame:
+        out = later = None
+        for name in reversed(self._layers(version)):
+            rows = self.spark.read.schema(SCHEMA if name[0] == "v" else "id string").parquet(f"{self.path}/{name}")
+            if name[0] == "v":
+                part = rows if later is None else rows.join(later, "id", "left_anti")
+                out = part if out is None else out.unionByName(part)
+            later = rows.select("id") if later is None else later.unionByName(rows.select("id"))
+        return self.spark.createDataFrame([], SCHEMA) if out is None else out
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, by default the present one."""
@@ -143,7 +162,7 @@ class VectorTable:
         if self.mode != "disk" and self._cached is not None and self._cached[0] == now:
             self.hits += 1
             return self._cached[1]
-        rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{self._folder(now)}")
+        rows = self._merged(now)
         if self.mode == "disk" or self.mode == "hybrid" and self._bytes(now) > self.cache_bytes:
             self.misses += self.mode != "disk"
             return rows
@@ -154,7 +173,7 @@ class VectorTable:
 
     def _bytes(self, version: int) -> int:
         fs, path_of = self._fs()
-        return fs.getContentSummary(path_of(f"{self.path}/{self._folder(version)}")).getLength()
+        return sum(fs.getContentSummary(path_of(f"{self.path}/{n}")).getLength() for n in self._layers(version))
 
     def cache_stats(self) -> dict:
         """Readings from the cache and past it, and the share of the former; 0 before the first."""
@@ -162,13 +181,11 @@ class VectorTable:
         return {"hits": self.hits, "misses": self.misses, "hit_rate": self.hits / total if total else 0.0, "cached": self._cached is not None}
 
     def disk_stats(self) -> dict:
-        """Bytes and files of the present version."""
+        """Bytes, files and layers of the present version."""
         now = self.version()
-        if now == 0:
-            return {"version": 0, "bytes": 0, "files": 0}
         fs, path_of = self._fs()
-        summary = fs.getContentSummary(path_of(f"{self.path}/{self._folder(now)}"))
-        return {"version": now, "bytes": summary.getLength(), "files": summary.getFileCount()}
+        found = [fs.getContentSummary(path_of(f"{self.path}/{n}")) for n in self._layers(now)]
+        return {"version": now, "bytes": sum(x.getLength() for x in found), "files": sum(x.getFileCount() for x in found), "layers": len(found)}
 
     def forget(self) -> None:
         """Drop the cached reading."""
@@ -182,10 +199,14 @@ class VectorTable:
         return (rows if ids is None else rows.where(F.col("id").isin(ids))).count()
 
     def commit(self, rows: DataFrame, base: int | None = None) -> int:
-        """Write the version after ``base``, the version that ``rows`` were made from (by default the present one)."""
+        """Write the version after ``base``, the version that ``rows`` were made from (by default the present one), as one layer."""
         base = self.version() if base is None else base
         name = f"v{uuid.uuid4().hex}"
         rows.select("id", "vector", "metadata").write.parquet(f"{self.path}/{name}")
+        return self._enter([name], base, name)
+
+    def _enter(self, layers: list[str], base: int, new: str) -> int:
+        """The version after ``base``; if another writer has made it, ``new`` goes and an error is raised."""
         fs, path_of = self._fs()
         fs.mkdirs(path_of(f"{self.path}/_versions"))
         entry = path_of(f"{self.path}/_versions/{base + 1:09d}")
@@ -194,36 +215,48 @@ class VectorTable:
         try:
             out = fs.create(entry, False)
         except Py4JJavaError as e:
-            fs.delete(path_of(f"{self.path}/{name}"), True)
+            fs.delete(path_of(f"{self.path}/{new}"), True)
             raise StorageError("the table has changed meanwhile") from e
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(" ".join(layers).encode()))
         out.close()
         return base + 1
 
+    def _change(self, layer: DataFrame, kind: str, base: int, whole) -> DataFrame:
+        """Add a layer to version ``base``, or merge it (``whole`` of the written layer gives the rows); the layer as written."""
+        name, layers = f"{kind}{uuid.uuid4().hex}", self._layers(base)
+        layer.write.parquet(f"{self.path}/{name}")
+        written = self.spark.read.schema(layer.schema).parquet(f"{self.path}/{name}")
+        if len(layers) < MAX_LAYERS:
+            self._enter([*layers, name], base, name)
+        else:
+            self.commit(whole(written), base)
+        return written
+
     def insert(self, rows: DataFrame) -> DataFrame:
-        """Add rows, or replace those of the same id; their ids (one column), in order."""
-        base, now = f"{self.path}/incoming-{uuid.uuid4().hex}", self.version()
-        conform(rows).write.parquet(base)  # drawn ids are settled here, once
-        settled = self.spark.read.schema(SCHEMA).parquet(base)
-        self.commit(upsert(self.read(now), settled), now)
-        return settled.select("id").orderBy("id")
+        """Add rows, or replace those of the same id; their ids (one column), in order. The table itself is not read."""
+        incoming, now = f"{self.path}/incoming-{uuid.uuid4().hex}", self.version()
+        conform(rows).write.parquet(incoming)  # drawn ids are settled by writing them, once
+        settled = self.spark.read.schema(SCHEMA).parquet(incoming)
+        written = self._change(once_each(settled), "v", now, lambda new: upsert(self._merged(now), new))
+        fs, path_of = self._fs()
+        fs.delete(path_of(incoming), True)
+        return written.select("id").orderBy("id")
 
     def update(self, changes: DataFrame) -> DataFrame:
         """Apply (id, vector, metadata) changes; (id, updated) of each."""
         now = self.version()
         rows, changes = self.read(now), conform(changes)
         flags = update_flags(rows, changes)
-        self.commit(update(rows, changes), now)
+        hit = rows.join(changes.select("id"), "id", "left_semi")
+        self._change(update(hit, changes), "v", now, lambda new: upsert(self._merged(now), new))
         return flags
 
     def delete(self, ids: list[str] | DataFrame) -> bool:
         """Whether all of them were there; the others go either way."""
         gone = ids.select(F.col("id").cast("string").alias("id")) if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string")
-        gone, now = gone.distinct(), self.version()
-        rows = self.read(now)
-        found, asked = rows.join(gone, "id", "left_semi").count(), gone.count()
-        self.commit(delete(rows, gone), now)
-        return found == asked
+        now = self.version()
+        written = self._change(gone.where("id is not null").distinct(), "g", now, lambda new: delete(self._merged(now), new))
+        return self._merged(now).join(written, "id", "left_semi").count() == written.count()
 
     def get(self, ident: str) -> dict | None:
         """A row by its id: the predicate reaches the Parquet scan."""

@@ -53,6 +53,24 @@ def test_writers_that_meet(spark, tmp_path):
     assert list(two.stream_ids()) == ["a", "b", "c"] and two.disk_stats()["version"] == 3 and two.disk_stats()["bytes"] > 0
 
 
+def test_layers_are_merged(spark, tmp_path):
+    """Many small changes against a dictionary, past the number of layers that a version may have."""
+    t, want = table.VectorTable(spark, str(tmp_path / "t")), {}
+    for step in range(table.MAX_LAYERS + 4):
+        if step % 4 == 3:
+            assert t.delete([f"r{step - 1}", "r0"]) == ("r0" in want)
+            want.pop(f"r{step - 1}"), want.pop("r0", None)
+        elif step % 4 == 2:
+            t.insert(spark.createDataFrame([(f"r{step}", [float(step)], None)], table.SCHEMA))
+            t.update(spark.createDataFrame([("r1", [100.0 + step], "{}")], table.SCHEMA))
+            want |= {f"r{step}": [float(step)], "r1": [100.0 + step]}
+        else:
+            t.insert(spark.createDataFrame([(f"r{step}", [float(step)], None), ("both", [float(step)], None)], table.SCHEMA))
+            want |= {f"r{step}": [float(step)], "both": [float(step)]}
+        assert t.disk_stats()["layers"] <= table.MAX_LAYERS
+    assert {r["id"]: list(r["vector"]) for r in t.read().collect()} == want
+
+
 def test_hybrid_cache(spark, tmp_path):
     t = table.VectorTable(spark, str(tmp_path / "t"), "hybrid")
     t.insert(spark.createDataFrame([("a", [1.0], None)], table.SCHEMA))
