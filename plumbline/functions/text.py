@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import ValidationError
-from ..shared import broadcast_if_small, stage
+from ..shared import broadcast_if_small, spread, stage
 from ..workers import map_arrow
 
 
@@ -23,7 +23,10 @@ from ..workers import map_arrow
 def tokenize(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits. A text that starts with a separator has an empty first
     token; empty tokens at the end are dropped; null gives null."""
-    parts = F.split(F.lower(text), r"[\W_]+")
+    return _without_ends(F.split(F.lower(text), r"[\W_]+"), text)
+
+
+def _without_ends(parts: Column, text: Column) -> Column:
     cut = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     return F.when((F.size(cut) == 1) & (cut[0] == "") & (text != ""), F.array().cast("array<string>")).otherwise(cut)
 
@@ -163,8 +166,10 @@ def chunk_paragraphs(docs: DataFrame, size: int = 2000, overlap: int = 0, least:
 
 
 def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = docs.select(F.col(f"`{id_col}`").alias("doc"), tokenize(F.col(f"`{text_col}`")).alias("t"))
-    return own.where("t is not null")
+    own = spread(docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("txt")).where("txt is not null"))
+    # split once: the cuts at the ends look at the result several times
+    parts = own.select("doc", "txt", F.split(F.lower("txt"), r"[\W_]+").alias("parts"))
+    return parts.select("doc", _without_ends(F.col("parts"), F.col("txt")).alias("t"))
 
 
 def _counted(tokens: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,7 +242,8 @@ class TfidfModel:
 
     def dense(self, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
         """(id, vector) of every row, in the order of the terms; zeros where a text has no weight."""
-        own = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(tokenize(F.col(f"`{text_col}`")), F.array().cast("array<string>")).alias("t"))
+        texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+        own = _tokens(texts, "id", "text").withColumnRenamed("doc", "id")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

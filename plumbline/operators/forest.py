@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import ForestConfig
 from ..errors import IndexError_
-from ..shared import stage
+from ..shared import spread, stage
 from ..workers import map_arrow
 from .knn import group_search, prepared
 
@@ -158,7 +158,7 @@ def forest_search(queries: DataFrame, data: DataFrame, placed: DataFrame, config
     for r in cut.select("tree", "leaf").distinct().toLocalIterator():
         skeleton[r["tree"]].add(r["leaf"])
     visits = max(config.num_trees * config.max_leaf_size, math.ceil(SHARE * sum(map(len, skeleton)))) if config.search_k == -1 else config.search_k
-    q = prepared(queries, id_col, vector_col)
+    q = spread(prepared(queries, id_col, vector_col))  # the walk is the work, and small tables are one partition
     visited = map_arrow(q, _walk(skeleton, config, dims, visits), f"query_id {q.schema['id'].dataType.simpleString()}, tree int, leaf string")
     asked = visited.join(q.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id")
     listed = cut.select("tree", "leaf", "id").join(prepared(data, id_col, vector_col), "id")

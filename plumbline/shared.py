@@ -44,3 +44,13 @@ BROADCAST_ROWS = 200_000
 def broadcast_if_small(staged: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``staged`` (a written, narrow table) with a broadcast hint if its counted rows allow it."""
     return F.broadcast(staged) if staged.count() <= most else staged
+
+
+#: Inputs up to this size by the optimizer's estimate, often a single file with one row group, are dealt out to all cores first.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame, small: int = SMALL_BYTES) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it is small; larger inputs have partitions enough and are not shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= small else df
