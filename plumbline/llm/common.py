@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import broadcast_if_small, shared_dir, stage
+from ..shared import broadcast_if_small, shared_dir, spread, stage
 from ..workers import importable
 
-__all__ = ["broadcast_if_small", "shared_dir", "stage"]
+__all__ = ["broadcast_if_small", "shared_dir", "spread", "stage"]
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 

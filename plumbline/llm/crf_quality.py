@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import importable
-from .common import chunks, list_array, narrow, release, strings, table
+from .common import chunks, list_array, narrow, release, spread, strings, table
 
 MAX_DOCS, STEPS, KEEP = 2000, 120, 0.5
 _SYMBOL, _PIPE, _SHOUT, _UPPER, _DIGIT, _SPACE, _STOP, _LOWER = range(1, 9)
@@ -221,7 +221,7 @@ def classify(docs: DataFrame, field: Field, keep: float = KEEP, id_col: str = "d
     quality 0 and isn't kept. Repeated rows, and rows with a null id, are classified each; an empty table gives none. Other
     columns play no part.
     """
-    own = narrow(docs, doc_id=id_col, text=text_col)
+    own = spread(narrow(docs, doc_id=id_col, text=text_col))
     kind = own.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(_scored(field, keep, chunk_bytes), f"doc_id {kind}, quality double, keep boolean, n_lines int, bad_lines array<int>")
 

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, stage, table
+from .common import narrow, spread, stage, table
 
 #: Notices and header paragraphs of common licenses: (template, text).
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -102,7 +102,7 @@ def license_scan(
     tokens = {name: toks for name, toks in tokens.items() if toks}
     vocabulary = sorted({t for toks in tokens.values() for t in toks})
     least = min((alpha(len(t), threshold) for t in tokens.values()), default=1)
-    own = narrow(docs, doc_id=id_col, text=text_col)
+    own = spread(narrow(docs, doc_id=id_col, text=text_col))
     found = stage(blocks(own, vocabulary or [""], least), "blocks")
 
     # the global order: how many of all blocks have the token; ties by the token

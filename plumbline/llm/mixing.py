@@ -109,6 +109,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return timed.orderBy(names["finish"], names["key"]).drop(*names.values())
 
 
+def shares(
+    docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options
+) -> DataFrame:
+    """(source, n_tokens, of_tokens, share, target_share, ran_out): what each source has in the mixture, of what it has in all, against the share that
+    its weight asks for. A source that ran out is in whole, so the others exceed their targets. A null source has its row; an empty table gives none."""
+    kept = fair_order(docs, weights, default_weight, id_col=id_col, source_col=source_col, text_col=text_col, **options)
+    kept = kept.groupBy(F.col("source").alias("s")).agg(F.sum("n_tokens").alias("n"))
+    whole = narrow(docs, source=source_col, text=text_col).groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("of_tokens"))
+    own = whole.join(kept, whole["source"].eqNullSafe(kept["s"]), "left").select("source", F.coalesce("n", F.lit(0)).alias("n_tokens"), "of_tokens", _weight(F.col("source"), weights, default_weight).alias("w"))
+    own = stage(own, "shares")
+    return own.crossJoin(F.broadcast(own.agg(F.sum("n_tokens").alias("t"), F.sum("w").alias("v")))).select(
+        "source", "n_tokens", "of_tokens", F.try_divide("n_tokens", "t").alias("share"), (F.col("w") / F.col("v")).alias("target_share"), (F.col("n_tokens") == F.col("of_tokens")).alias("ran_out")
+    )
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = fair_order(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "source", "n_tokens", F.round("finish_time", 4).alias("finish_time"), "cum_tokens")

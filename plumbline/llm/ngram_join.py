@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, chunks, cleaned, discard, narrow, ranges, release, shared_dir, stage, strings, table
+from .common import broadcast_if_small, chunks, cleaned, discard, narrow, ranges, release, shared_dir, spread, stage, strings, table
 
 N, THRESHOLD, GROUPS = 2, 0.6, 64
 #: Text of a block; n-grams that meet in one task, about; sets that meet at one n-gram without a grid, as a power of 2.
@@ -644,7 +644,7 @@ class _Corpus:
 
     def __init__(self, docs: DataFrame, n: int, id_col: str, text_col: str, block_bytes: int, task_grams: int):
         spark = docs.sparkSession
-        own = narrow(docs, doc_id=id_col, text=text_col).where("doc_id is not null")
+        own = spread(narrow(docs, doc_id=id_col, text=text_col).where("doc_id is not null"))
         own = own.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
         chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
         self.n, self.task_grams = n, task_grams

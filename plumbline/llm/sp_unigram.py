@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, list_array, narrow, ranges, release, strings, table
+from .common import chunks, list_array, narrow, ranges, release, spread, strings, table
 from .spans import SpanCache, per_group
 
 MARK = "▁"
@@ -425,7 +425,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tex
     the marker character itself decodes with a space in its place: round_trip is then false. White space becomes the marker one for one and a
     marker is put first, whatever the normaliser settings in the model file say; so texts decode to what they were.
     """
-    own = narrow(docs, doc_id=id_col, text=text_col)
+    own = spread(narrow(docs, doc_id=id_col, text=text_col))
     kind = own.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(_tokens(model_path, chunk_bytes), f"doc_id {kind}, token_ids array<int>, n_tokens bigint, round_trip boolean")
 
