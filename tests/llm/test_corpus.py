@@ -490,6 +490,15 @@ def test_mixing(docs, odd_docs, no_docs):
         assert Counter(mixed) == want
         place = {r["doc_id"]: r["cum_tokens"] for r in mixing.fair_order(df).collect()}
         assert [place[i] for i in mixed] == sorted(place[i] for i in mixed)
+    got = {r["source"]: r for r in mixing.shares(docs).collect()}
+    weight = {s: mixing.WEIGHTS.get(s, mixing.DEFAULT_WEIGHT) for s in got}
+    inside = Counter()
+    for r in mixing.fair_order(docs).collect():
+        inside[r["source"]] += r["n_tokens"]
+    for s, r in got.items():
+        assert r["n_tokens"] == inside[s] and abs(r["share"] - inside[s] / sum(inside.values())) < 1e-12
+        assert abs(r["target_share"] - weight[s] / sum(weight.values())) < 1e-12 and r["ran_out"] == (inside[s] == r["of_tokens"])
+    assert mixing.shares(no_docs).count() == 0
     assert mixing.mix(no_docs).count() == 0 and mixing.mix(docs).columns == docs.columns
 
 
