@@ -245,7 +245,8 @@ def keep_good(docs: DataFrame, field: Field, keep: float = KEEP, text_col: str =
     rows are judged each, ids play no part. The text's column is found whatever the case of its name, the exact one first."""
     importable(docs.sparkSession)
     at = docs.columns.index(text_col) if text_col in docs.columns else [c.lower() for c in docs.columns].index(text_col.lower())
-    return docs.mapInArrow(_kept(field, keep, at, chunk_bytes), docs.schema)
+    # mapInArrow asks for its columns by name, and reads a name with a dot as a path
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).mapInArrow(_kept(field, keep, at, chunk_bytes), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
