@@ -33,6 +33,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What a byte piece costs beyond the worst piece, as for an unknown character.
 PENALTY = 10.0
 _NEG = -1e30
+#: Spans that a worker keeps, and text that it takes at once, in bytes: a worker may stand beside those of other stages, in an executor whose heap is full.
+MOST_SPANS, CHUNK_BYTES = 200_000, 1 << 20
 _SPACED = re.compile(r" *[^ ]+| +")
 
 
@@ -155,7 +157,7 @@ class DoubleArray:
 class Unigram:
     """One model, with the pieces of every span seen so far (``most`` spans at a time)."""
 
-    def __init__(self, path: str = MODEL, most: int = 400_000):
+    def __init__(self, path: str = MODEL, most: int = MOST_SPANS):
         self.pieces, self.scores, self.kinds, _ = read_model(path)
         own = {p.encode(): i for i, p in reversed(list(enumerate(self.pieces))) if self.kinds[i] in (NORMAL, USER)}
         self.trie = DoubleArray(own)
@@ -415,7 +417,7 @@ def _tokens(path: str, chunk_bytes: int):
     return run
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, token_ids, n_tokens, round_trip) of every row: the best pieces of its whole text, and
     whether decoding them gives the very text again.
 

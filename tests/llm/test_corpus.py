@@ -1,12 +1,15 @@
 """Corpus operators against brute force, on small fixtures with planted and odd cases."""
 
+import inspect
 import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -558,6 +561,21 @@ def test_pieces(docs, odd_docs, no_docs):
     assert sp_unigram.encode(no_docs).count() == 0
 
 
+def test_pieces_of_many_words_take_little_memory():
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("etaoinshr", k=7)) for _ in range(1000)) for _ in range(400)]
+    sp = sp_unigram.Unigram(sp_unigram.MODEL)
+    want = [sp.encode([t])[0].tolist() for t in texts[::100]]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    sp_unigram.model(sp_unigram.MODEL)
+    tracemalloc.start()
+    chunk_bytes = inspect.signature(sp_unigram.encode).parameters["chunk_bytes"].default
+    got = [t for b in sp_unigram._tokens(sp_unigram.MODEL, chunk_bytes)(iter([rows])) for t in b.column(1).to_pylist()[:1]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == want[0] and peak < 160e6
+
+
 # -- the pipeline --
 
 
