@@ -15,9 +15,10 @@ and a symbol emits its words by their smoothed corpus frequency:
 The class model is trained first, a few iterations; then the word model, until its likelihood settles. Its counts,
 a vector for each word, are a table that grows with the corpus: each block of documents sends those of its
 own words to the words' parts, which add them up, and gets the sums back. Both ways are shuffles, packed by (block, part).
+What they move is a row for each distinct word of each block, so blocks are large, and their documents are worked on in slabs.
 
 The expectation step runs in every partition over its documents (scaled forward and backward recursions, all
-documents of a block side by side) and emits expected counts; these are summed across partitions,
+documents of a slab, which are about as long, side by side) and emits expected counts; these are summed across partitions,
 and the sums give the next parameters. What is sent to the workers, the transition and the symbol
 tables, has a fixed size. The word counts grow with the corpus and are only ever joined, never
 broadcast: each block of documents gets the counts of its own words by a shuffle.
@@ -29,6 +30,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cleaned, discard, list_array, narrow, release, shared_dir, stage, table
+from .common import chunks, cleaned, discard, list_array, narrow, ranges, release, shared_dir, stage, table
 
 STATES, ITERATIONS, HEAVY_SHARE, ENDINGS, SEED = 4, 3, 4096, 1024, 11
-#: Text per block of documents, in bytes.
-BLOCK_BYTES = 8 << 20
+#: Text per block of documents, in bytes: of this, words that repeat count once. Words per slab, which are in memory with all their states at once.
+BLOCK_BYTES, SLAB_WORDS = 32 << 20, 1_000_000
 #: Words' worth of the class model in each state of the word model.
 PRIOR = 1.0
 #: Training ends when an iteration changes the log likelihood by less than this share; MOST only guards against no end.
@@ -60,39 +62,68 @@ def _ending(word: str, endings: int) -> int:
     return xxhash.xxh32_intdigest(word[-2:]) % endings
 
 
-def _encoded(endings: int, block_bytes: int):
-    """A row for each block: its documents' word codes, and its words (64-bit hash, ending, count)."""
+class _Coded:
+    """Documents of one block: their words as numbers, in the order of first appearance."""
+
+    def __init__(self):
+        self.known, self.size = _Local(), 0
+        self.ids: list[pa.Array] = []
+        self.lengths: list[int] = []
+        self.parts: list[np.ndarray] = []
+
+    def add(self, ids: pa.Array, texts: pa.Array) -> None:
+        self.ids.append(ids)
+        self.size += texts.nbytes
+        for text in texts:
+            words = text.as_py()
+            words = words.lower().split() if words else []
+            self.lengths.append(len(words))
+            self.parts.append(np.fromiter(map(self.known.__getitem__, words), np.uint32, len(words)))
+
+    def row(self, endings: int, slab_words: int) -> pa.RecordBatch:
+        codes, lengths = np.concatenate(self.parts), np.array(self.lengths, np.int32)
+        start = np.cumsum(lengths, dtype=np.int64) - lengths
+        order = np.argsort(-lengths, kind="stable")
+        lengths, start = lengths[order], start[order]
+        slab = (np.cumsum(lengths, dtype=np.int64) - lengths) // slab_words
+        cuts = [0, *(np.flatnonzero(np.diff(slab)) + 1), len(lengths)]
+        packed = [pa.compress(codes[ranges(start[a:b], lengths[a:b])][Layout(lengths[a:b]).source].tobytes(), "zstd", asbytes=True) for a, b in zip(cuts, cuts[1:])]
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.known), np.uint64, len(self.known)).view(np.int64)
+        tails: dict[str, int] = {}
+        kinds = np.empty(len(self.known), np.int16)
+        for k, w in enumerate(self.known):
+            t = w[-2:]
+            c = tails.get(t)
+            if c is None:
+                c = tails[t] = _ending(t, endings)
+            kinds[k] = c
+        ids = pa.concat_arrays(self.ids).take(pa.array(order))
+        one = lambda a: list_array(pa.array(a), np.array([len(a)]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                one(lengths), one(np.diff(cuts).astype(np.int32)), pa.array([packed], pa.list_(pa.binary())), one(hashes), one(kinds), one(np.bincount(codes, minlength=len(self.known)).astype(np.int64)),
+            ],
+            ["doc_ids", "lengths", "slabs", "codes", "words", "endings", "counts"],
+        )
+
+
+def _encoded(endings: int, block_bytes: int, slab_words: int):
+    """A row for each block: its documents, longest first, the word codes of each slab of them, a step of all its documents after the
+    other, compressed; and the block's words (64-bit hash, ending, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, 1, block_bytes):
-            known = _Local()
-            lengths = np.zeros(batch.num_rows, np.int32)
-            parts = []
-            for k, text in enumerate(batch.column(1)):
-                words = text.as_py()
-                words = words.lower().split() if words else []
-                lengths[k] = len(words)
-                parts.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
-            codes = np.concatenate(parts)
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known)).view(np.int64)
-            tails: dict[str, int] = {}
-            kinds = np.empty(len(known), np.int16)
-            for k, w in enumerate(known):
-                t = w[-2:]
-                c = tails.get(t)
-                if c is None:
-                    c = tails[t] = _ending(t, endings)
-                kinds[k] = c
-            one = lambda a: list_array(pa.array(a), np.array([len(a)]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)),
-                    one(lengths), pa.array([codes.tobytes()], pa.binary()), one(hashes), one(kinds), one(np.bincount(codes, minlength=len(known)).astype(np.int64)),
-                ],
-                ["doc_ids", "lengths", "codes", "words", "endings", "counts"],
-            )
-            del known, codes, parts, hashes
-            release()
+        held = _Coded()
+        for batch in chunks(batches, 1, min(block_bytes, 4 << 20)):
+            if held.ids and held.size + batch.column(1).nbytes > block_bytes:
+                yield held.row(endings, slab_words)
+                held = _Coded()
+                release()
+            held.add(batch.column(0), batch.column(1))
+        if held.ids:
+            yield held.row(endings, slab_words)
+        del held
+        release()
 
     return run
 
@@ -106,54 +137,64 @@ class Layout:
         self.longest = int(size[0]) if len(size) else 0
         self.live = np.searchsorted(-size, -np.arange(self.longest), side="left")
         self.at = np.concatenate([[0], np.cumsum(self.live)])
-        start = (np.cumsum(lengths, dtype=np.int64) - lengths)[self.order]
         self.docs = int((size > 0).sum())
+        self.lengths, self.size = lengths, size
+
+    @cached_property
+    def source(self) -> np.ndarray:
+        size, start = self.size, (np.cumsum(self.lengths, dtype=np.int64) - self.lengths)[self.order]
         # token i of document d goes to at[i] + rank(d)
         step = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
-        self.source = np.empty(len(step), np.int64)
-        self.source[self.at[step] + np.repeat(np.arange(len(size)), size)] = np.repeat(start, size) + step
+        source = np.empty(len(step), np.int64)
+        source[self.at[step] + np.repeat(np.arange(len(size)), size)] = np.repeat(start, size) + step
+        return source
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of a value for each token, by document, longest first."""
+        return np.bincount(ranges(np.zeros(self.longest, np.int64), self.live), values, len(self.size))
+
+
+def _forward(layout: Layout, emitted: np.ndarray, first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``forward``, with a row for each state: long rows are what NumPy is fast at."""
+    alpha, scale = np.empty_like(emitted), np.empty(emitted.shape[1])
+    turned, live, ends = np.ascontiguousarray(steps.T), layout.live.tolist(), layout.at.tolist()
+    carry = None
+    for t, n in enumerate(live):
+        a, b = ends[t], ends[t + 1]
+        f = np.matmul(turned, carry[:, :n]) if t else first[:, None]
+        f = f * emitted[:, a:b]
+        c = np.add.reduce(f, 0, out=scale[a:b])
+        carry = np.divide(f, c, out=alpha[:, a:b])
+    return alpha, scale
 
 
 def forward(layout: Layout, emitted: np.ndarray, first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scaled forward probabilities and scales of all tokens; the log likelihood of a document is the sum of its
     log scales."""
-    alpha, scale = np.empty_like(emitted), np.empty(len(emitted))
-    ones = np.ones(emitted.shape[1])
-    carry = None
-    for t in range(layout.longest):
-        a, b = layout.at[t], layout.at[t + 1]
-        f = alpha[a:b]
-        if t:
-            np.matmul(carry[: b - a], steps, out=f)
-            f *= emitted[a:b]
-        else:
-            np.multiply(first, emitted[a:b], out=f)
-        c = np.matmul(f, ones, out=scale[a:b])
-        f /= c[:, None]
-        carry = f
-    return alpha, scale
+    alpha, scale = _forward(layout, np.ascontiguousarray(emitted.T), first, steps)
+    return alpha.T, scale
 
 
 def expect(layout: Layout, symbols: np.ndarray, first: np.ndarray, steps: np.ndarray, emission: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of first states, steps and emissions over a block, and its log likelihood.
+    """Expected counts of first states, steps and emissions over documents side by side, and their log likelihood.
 
     The backward recursion keeps one step at a time, and turns the forward probabilities into the
     states' posteriors in their place."""
     k = len(first)
-    emitted = emission[symbols]
-    alpha, scale = forward(layout, emitted, first, steps)
-    emitted /= scale[:, None]
-    moved, turned = np.zeros((k, k)), np.ascontiguousarray(steps.T)
-    beta = np.ones((layout.docs, k))
-    onward = np.empty((layout.docs, k))
+    emitted = np.take(emission.T, symbols, axis=1, mode="clip")
+    alpha, scale = _forward(layout, emitted, first, steps)
+    emitted /= scale
+    moved, steps = np.zeros((k, k)), np.ascontiguousarray(steps)
+    live, ends = layout.live.tolist(), layout.at.tolist()
+    beta = np.ones((k, layout.docs))
     for t in range(layout.longest - 2, -1, -1):
-        a, b, n = layout.at[t], layout.at[t + 1], layout.live[t + 1]
-        weighted = np.multiply(beta[:n], emitted[b : b + n], out=onward[:n])
-        moved += alpha[a : a + n].T @ weighted
-        np.matmul(weighted, turned, out=beta[:n])
-        alpha[a:b] *= beta[: b - a]
-    told = np.stack([np.bincount(symbols, alpha[:, j], len(emission)) for j in range(k)], axis=1)
-    return alpha[: layout.docs].sum(0), steps * moved, told, float(np.log(scale).sum())
+        a, b, n = ends[t], ends[t + 1], live[t + 1]
+        weighted = beta[:, :n] * emitted[:, b : b + n]
+        moved += alpha[:, a : a + n] @ weighted.T
+        beta[:, :n] = np.matmul(steps, weighted)
+        alpha[:, a:b] *= beta[:, : b - a]
+    told = np.stack([np.bincount(symbols, own, len(emission)) for own in alpha], axis=1)
+    return alpha[:, : layout.docs].sum(1), steps * moved, told, float(np.log(scale).sum())
 
 
 @dataclass
@@ -181,9 +222,30 @@ def _symbols(heavy: np.ndarray, hashes: np.ndarray, endings: np.ndarray) -> np.n
     return np.where(hit, at, len(heavy) + endings.astype(np.int64))
 
 
-def _block(batch: pa.RecordBatch, k: int):
-    row = lambda name: np.asarray(batch.column(name)[k].values)
-    return row("lengths"), np.frombuffer(batch.column("codes")[k].as_py(), np.uint32), row("words"), row("endings")
+def _words(block: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.asarray(block.column(c)[k].values) for c in ("words", "endings"))
+
+
+def _slabs(block: pa.RecordBatch | pa.Table, k: int) -> Iterator[tuple[Layout, np.ndarray]]:
+    """The slabs of a block: their documents' layout, and their word codes in its order."""
+    lengths, codes, at = np.asarray(block.column("lengths")[k].values), block.column("codes")[k].values, 0
+    for j, n in enumerate(block.column("slabs")[k].as_py()):
+        layout = Layout(lengths[at : at + n])
+        at += n
+        yield layout, np.frombuffer(pa.decompress(codes[j].as_py(), 4 * int(layout.at[-1]), "zstd"), np.uint32).astype(np.intp)
+
+
+def _over(slabs: Iterator[tuple[Layout, np.ndarray]], first: np.ndarray, steps: np.ndarray, emission: np.ndarray):
+    """What is expected of all slabs, as ``expect`` gives it; emission is that of the block's words."""
+    emission = np.asfortranarray(emission)
+    k = len(first)
+    f, moved, told, ll = np.zeros(k), np.zeros((k, k)), np.zeros(emission.shape), 0.0
+    for layout, codes in slabs:
+        if len(codes):
+            got = expect(layout, codes, first, steps, emission)
+            f, moved, ll = f + got[0], moved + got[1], ll + got[3]
+            told += got[2]
+    return f, moved, told, ll
 
 
 def _expected(first: np.ndarray, steps: np.ndarray, emission: np.ndarray, heavy: np.ndarray):
@@ -191,13 +253,13 @@ def _expected(first: np.ndarray, steps: np.ndarray, emission: np.ndarray, heavy:
         totals = None
         for batch in batches:
             for k in range(batch.num_rows):
-                lengths, codes, words, endings = _block(batch, k)
-                if not len(codes):
+                words, endings = _words(batch, k)
+                if not len(words):
                     continue
-                layout = Layout(lengths)
-                got = expect(layout, _symbols(heavy, words, endings)[codes[layout.source]], first, steps, emission)
+                symbols = _symbols(heavy, words, endings)
+                f, moved, c, ll = _over(_slabs(batch, k), first, steps, emission[symbols])
+                got = f, moved, np.stack([np.bincount(symbols, own, len(emission)) for own in c.T], axis=1), ll
                 totals = got if totals is None else tuple(a + b for a, b in zip(totals, got))
-                del layout
                 release()
         if totals is None:
             return
@@ -211,11 +273,11 @@ def _expected(first: np.ndarray, steps: np.ndarray, emission: np.ndarray, heavy:
     return run
 
 
-def encode(docs: DataFrame, endings: int = ENDINGS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, endings: int = ENDINGS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, slab_words: int = SLAB_WORDS) -> DataFrame:
     """Blocks of encoded documents, written to shared storage in buckets, so that reading them by block shuffles nothing."""
     own = narrow(docs, doc_id=id_col, text=text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
-    made = own.mapInArrow(_encoded(endings, block_bytes), f"doc_ids array<{kind}>, lengths array<int>, codes binary, words array<bigint>, endings array<smallint>, counts array<bigint>")
+    made = own.mapInArrow(_encoded(endings, block_bytes, slab_words), f"doc_ids array<{kind}>, lengths array<int>, slabs array<int>, codes array<binary>, words array<bigint>, endings array<smallint>, counts array<bigint>")
     spark, name = docs.sparkSession, f"plumbline_blocks_{uuid.uuid4().hex}"
     to = made.withColumn("block", F.monotonically_increasing_id()).write.format("parquet").bucketBy(_buckets(spark), "block")
     to.option("path", f"{shared_dir(spark)}/stage-{name}").saveAsTable(name)
@@ -250,7 +312,7 @@ def train(blocks: DataFrame, states: int = STATES, iterations: int = ITERATIONS,
     likelihoods = []
     fields = ", ".join(f"c{j} double" for j in range(states))
     for _ in range(iterations if total else 0):
-        sums = blocks.select("lengths", "codes", "words", "endings").mapInArrow(_expected(first, steps, emission, heavy), f"symbol int, {fields}")
+        sums = blocks.select("lengths", "slabs", "codes", "words", "endings").mapInArrow(_expected(first, steps, emission, heavy), f"symbol int, {fields}")
         rows = sums.groupBy("symbol").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(states)]).toArrow()
         key = np.asarray(rows["symbol"], np.int64)
         values = np.stack([np.asarray(rows[f"c{j}"], np.float64) for j in range(states)], axis=1)
@@ -265,11 +327,21 @@ def train(blocks: DataFrame, states: int = STATES, iterations: int = ITERATIONS,
     return Model(first, steps, emission, heavy, mass, distinct, endings, counts, likelihoods)
 
 
+_SCORED = ["doc_id", "n_words", "log_likelihood", "perplexity"]
+
+
+def _scores(block: pa.RecordBatch | pa.Table, k: int, sums: list[np.ndarray]) -> list[pa.Array]:
+    """The columns of a block's result; sums are its documents' log likelihoods, slab by slab."""
+    ids, lengths, path = block.column("doc_ids")[k].values, np.asarray(block.column("lengths")[k].values), np.concatenate([np.zeros(0), *sums])
+    rate = path / np.maximum(lengths, 1)
+    return [ids, pa.array(lengths.astype(np.int64)), pa.array(path), pa.array(np.where(lengths > 0, np.exp(np.minimum(-rate, 700)), np.nan), from_pandas=True)]
+
+
 def _likelihood(first, steps, emission, heavy, mass, distinct):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                lengths, codes, words, endings = _block(batch, k)
+                words, endings = _words(batch, k)
                 symbols = _symbols(heavy, words, endings)
                 n = np.zeros(len(words))
                 if batch.column("known")[k].is_valid:
@@ -277,19 +349,10 @@ def _likelihood(first, steps, emission, heavy, mass, distinct):
                     n[np.asarray(known.field("code"))] = np.asarray(known.field("n"))
                 # one unseen word is allowed for in every symbol
                 word = np.log(n + 1) - np.log(mass + distinct + 1)[symbols]
-                layout = Layout(lengths)
-                _, scale = forward(layout, emission[symbols[codes[layout.source]]], first, steps)
-                logs = np.empty(len(codes))
-                logs[layout.source] = np.log(scale)
-                ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-                both = [np.concatenate([[0.0], np.cumsum(x)]) for x in (logs, word[codes])]
-                path, lexical = [c[ends[1:]] - c[ends[:-1]] for c in both]
-                rate = (path + lexical) / np.maximum(lengths, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids")[k].values, pa.array(lengths.astype(np.int64)), pa.array(path + lexical), pa.array(np.where(lengths > 0, np.exp(np.minimum(-rate, 700)), np.nan), from_pandas=True)],
-                    ["doc_id", "n_words", "log_likelihood", "perplexity"],
-                )
-                del layout, logs, both, word
+                own = emission[symbols]
+                sums = [layout.sums(np.log(forward(layout, own[codes], first, steps)[1]) + word[codes]) for layout, codes in _slabs(batch, k)]
+                yield pa.RecordBatch.from_arrays(_scores(batch, k, sums), _SCORED)
+                del sums, own, word
                 release()
 
     return run
@@ -306,7 +369,7 @@ def score(blocks: DataFrame, model: Model) -> DataFrame:
     # each block gets the counts of its own words
     own = blocks.select("block", F.posexplode("words").alias("code", "word")).join(model.counts, "word")
     known = own.select("block", F.struct("code", "n").alias("k")).groupBy("block").agg(F.collect_list("k").alias("known"))
-    joined = blocks.select("block", "doc_ids", "lengths", "codes", "words", "endings").join(known, "block", "left")
+    joined = blocks.select("block", "doc_ids", "lengths", "slabs", "codes", "words", "endings").join(known, "block", "left")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     run = _likelihood(model.first, model.steps, model.emission, model.heavy, model.mass, model.distinct)
     return joined.mapInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double, perplexity double")
@@ -369,7 +432,7 @@ def _summed(sent: DataFrame) -> DataFrame:
 def _emitted(block: pa.Table, told: pa.Table, classes: tuple, total: np.ndarray | None, parts: int) -> np.ndarray:
     """P(word | state) of a block's words. Without totals, what is told is the words' corpus counts, and the start of training is meant."""
     emission, heavy, mass, distinct = classes
-    words, endings = (np.asarray(block.column(c)[0].values) for c in ("words", "endings"))
+    words, endings = _words(block, 0)
     own = dict(zip(told.column("part").to_pylist(), told.column("data").to_pylist()))
     counts = np.empty((len(words), 1 if total is None else len(total)))
     for p, codes in _split(words, parts):
@@ -392,12 +455,10 @@ def _by_block(blocks: DataFrame, told: DataFrame, columns: list[str]):
 
 def _expected_words(first: np.ndarray, steps: np.ndarray, total: np.ndarray | None, classes: tuple, parts: int):
     def run(block: pa.Table, told: pa.Table) -> pa.Table:
-        lengths, codes, words, _ = _block(block, 0)
-        if not len(codes):
+        words, _ = _words(block, 0)
+        if not len(words):
             return _SENT.empty_table()
-        layout = Layout(lengths)
-        f, moved, c, ll = expect(layout, codes[layout.source], first, steps, _emitted(block, told, classes, total, parts))
-        del layout
+        f, moved, c, ll = _over(_slabs(block, 0), first, steps, _emitted(block, told, classes, total, parts))
         release()
         return _sent(block.column("block")[0].as_py(), words, c, parts, np.concatenate([f, moved.ravel(), c.sum(0), [ll]]))
 
@@ -418,10 +479,11 @@ def train_words(blocks: DataFrame, classes: Model, settled: float = SETTLED, mos
                 yield from _sent(batch.column("block")[k].as_py(), words, n[:, None], parts).to_batches()
 
     told = _summed(blocks.select("block", "words", "counts").mapInArrow(counted, sent_type))
+    cleaned(blocks.sparkSession)
     first, steps, total, states, likelihoods = classes.first, classes.steps, None, len(classes.first), []
     for _ in range(most if pairs else 0):
         run = _expected_words(first, steps, total, fixed, parts)
-        after = _summed(_by_block(blocks, told, ["lengths", "codes", "words", "endings"]).applyInArrow(run, sent_type))
+        after = _summed(_by_block(blocks, told, ["lengths", "slabs", "codes", "words", "endings"]).applyInArrow(run, sent_type))
         discard(told)
         cleaned(blocks.sparkSession)
         told = after
@@ -443,25 +505,15 @@ def score_words(blocks: DataFrame, model: WordModel) -> DataFrame:
     first, steps, total, parts, fixed = model.first, model.steps, model.total, model.parts, (c.emission, c.heavy, c.mass, c.distinct)
 
     def run(block: pa.Table, told: pa.Table) -> pa.Table:
-        lengths, codes, _, _ = _block(block, 0)
-        layout = Layout(lengths)
-        logs = np.empty(len(codes))
-        if len(codes):
-            emission = _emitted(block, told, fixed, total, parts)
-            logs[layout.source] = np.log(forward(layout, emission[codes[layout.source]], first, steps)[1])
-        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        sums = np.concatenate([[0.0], np.cumsum(logs)])
-        path = sums[ends[1:]] - sums[ends[:-1]]
-        made = pa.table(
-            [block.column("doc_ids")[0].values, pa.array(lengths.astype(np.int64)), pa.array(path), pa.array(np.where(lengths > 0, np.exp(np.minimum(-path / np.maximum(lengths, 1), 700)), np.nan), from_pandas=True)],
-            ["doc_id", "n_words", "log_likelihood", "perplexity"],
-        )
-        del layout, logs
+        emission = _emitted(block, told, fixed, total, parts) if len(block.column("words")[0]) else np.zeros((0, len(first)))
+        sums = [layout.sums(np.log(forward(layout, emission[codes], first, steps)[1])) for layout, codes in _slabs(block, 0)]
+        made = pa.table(_scores(block, 0, sums), _SCORED)
+        del sums, emission
         release()
         return made
 
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    return _by_block(blocks, model.told, ["doc_ids", "lengths", "codes", "words", "endings"]).applyInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double, perplexity double")
+    return _by_block(blocks, model.told, ["doc_ids", "lengths", "slabs", "codes", "words", "endings"]).applyInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double, perplexity double")
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", endings: int = ENDINGS, block_bytes: int = BLOCK_BYTES, **options) -> DataFrame:
@@ -469,6 +521,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = encode(docs, endings, id_col, text_col, block_bytes)
     classes = train(blocks, endings=endings, **options)
     discard(classes.counts)
+    cleaned(docs.sparkSession)
     model = train_words(blocks, classes)
     return score_words(blocks, model)
 

@@ -339,6 +339,27 @@ def test_every_word_has_emissions_of_its_own(spark):
     assert sum(got.values()) > sum(alike.values()) + 0.5 * len(tokens)
 
 
+def test_words_of_a_block_are_sent_once(spark):
+    """10 MB of text in one partition: what an iteration shuffles is a row for each distinct word, and words are stored in little space."""
+    rng = np.random.default_rng(6)
+    vocabulary = np.array([f"word{k}" for k in range(3000)])
+    texts = [" ".join(rng.choice(vocabulary, 1500)) for _ in range(800)]
+    blocks = hmm_lm.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    pairs, stored = blocks.selectExpr("sum(size(words))", "sum(length(codes))" if "binary" == blocks.schema["codes"].dataType.simpleString() else "sum(aggregate(codes, 0, (a, c) -> a + length(c)))").first()
+    assert pairs == 3000 and stored < 2.5 * 1500 * 800
+
+
+def test_slabs_change_no_score(spark, docs):
+    scores = []
+    for slab_words in (40, 1_000_000):
+        blocks = hmm_lm.encode(docs, slab_words=slab_words)
+        assert blocks.selectExpr("max(size(slabs))").first()[0] > 1 or slab_words > 40
+        model = hmm_lm.train_words(blocks, hmm_lm.train(blocks, heavy_share=50), most=3)
+        scores.append({r["doc_id"]: (r["n_words"], r["log_likelihood"]) for r in hmm_lm.score_words(blocks, model).collect()})
+    assert scores[0].keys() == scores[1].keys() == texts_of(docs).keys()
+    assert all(n == scores[1][i][0] and abs(ll - scores[1][i][1]) < 1e-4 * abs(ll) for i, (n, ll) in scores[0].items())
+
+
 # -- 6 --
 
 
