@@ -485,9 +485,10 @@ def train_words(blocks: DataFrame, classes: Model, settled: float = SETTLED, mos
         run = _expected_words(first, steps, total, fixed, parts)
         after = _summed(_by_block(blocks, told, ["lengths", "slabs", "codes", "words", "endings"]).applyInArrow(run, sent_type))
         discard(told)
-        cleaned(blocks.sparkSession)
         told = after
         figures = np.frombuffer(bytes(told.where("part < 0").first()["data"]))
+        # Spark holds on to the plan that ran last, and so to its shuffles: after another has run, those of the sums can go
+        cleaned(blocks.sparkSession)
         first = figures[:states] / figures[:states].sum()
         steps = figures[states : -states - 1].reshape(states, states) + _FLOOR
         steps /= steps.sum(1, keepdims=True)

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter, defaultdict
 
@@ -349,6 +350,27 @@ def test_words_of_a_block_are_sent_once(spark):
     assert pairs == 3000 and stored < 2.5 * 1500 * 800
 
 
+def test_shuffles_of_an_iteration_go_when_it_ends(spark, docs, monkeypatch):
+    def shuffles():
+        known = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keysIterator()
+        out = set()
+        while known.hasNext():
+            out.add(known.next())
+        return out
+
+    def cleaned(spark):
+        clean(spark)
+        time.sleep(1)  # Spark's cleaner works on its own
+        left.append(shuffles())
+
+    blocks = hmm_lm.encode(docs)
+    classes = hmm_lm.train(blocks, heavy_share=50)
+    clean, left = hmm_lm.cleaned, []
+    monkeypatch.setattr(hmm_lm, "cleaned", cleaned)
+    hmm_lm.train_words(blocks, classes, most=3)
+    assert len(left) == 4 and all(after <= before for before, after in zip(left, left[1:]))
+
+
 def test_slabs_change_no_score(spark, docs):
     scores = []
     for slab_words in (40, 1_000_000):
