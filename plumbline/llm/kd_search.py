@@ -124,7 +124,7 @@ def _merge(dist: np.ndarray, who: np.ndarray, row: np.ndarray, d: np.ndarray, id
 
 
 def _vectors(col: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
-    flat = col.flatten() if isinstance(col, pa.ListArray) else pa.concat_arrays([c.flatten() for c in col.chunks] or [pa.array([], pa.float64())])
+    flat = col.flatten() if isinstance(col, pa.ListArray) else pa.concat_arrays([c.flatten() for c in col.chunks if len(c)] or [pa.array([], pa.float64())])
     return np.asarray(flat, np.float64).reshape(-1, dims)
 
 
