@@ -34,6 +34,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +51,9 @@ SETTLED, MOST = 1e-4, 200
 #: (block, word) pairs that a part of the words holds, about.
 PART_PAIRS = 400_000
 _FLOOR = 1e-12
-
-
-class _Local(dict):
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
+#: Steps between two scalings of the recursions. A step takes a factor of 1e-34 at most from the largest of the
+#: probabilities (a step of ``_FLOOR`` in 1e10 words, to a word seen once in these), so four of them are far from underflow.
+SCALED = 4
 
 
 def _ending(word: str, endings: int) -> int:
@@ -66,43 +64,48 @@ class _Coded:
     """Documents of one block: their words as numbers, in the order of first appearance."""
 
     def __init__(self):
-        self.known, self.size = _Local(), 0
+        self.size = 0
         self.ids: list[pa.Array] = []
-        self.lengths: list[int] = []
-        self.parts: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.parts: list[pa.Array] = []
 
     def add(self, ids: pa.Array, texts: pa.Array) -> None:
         self.ids.append(ids)
         self.size += texts.nbytes
-        for text in texts:
-            words = text.as_py()
-            words = words.lower().split() if words else []
-            self.lengths.append(len(words))
-            self.parts.append(np.fromiter(map(self.known.__getitem__, words), np.uint32, len(words)))
+        # Arrow's white space is Python's; lower case isn't, so it waits for the distinct words
+        split = pc.utf8_split_whitespace(texts.fill_null(""))
+        words, ends = split.flatten(), np.concatenate([[0], np.cumsum(np.asarray(split.value_lengths()))])
+        full = np.asarray(pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False))
+        self.lengths.append(np.diff(np.concatenate([[0], np.cumsum(full)])[ends]).astype(np.int32))
+        self.parts.append(words if full.all() else words.filter(pa.array(full)))
+
+    def coded(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words in lower case, and the number of every word."""
+        parts = pa.chunked_array(self.parts).dictionary_encode().chunks if self.parts else []
+        if not parts:  # parts without words are left out
+            return pa.array([], pa.string()), np.zeros(0, np.uint32)
+        known = pa.array([w.lower() for w in parts[-1].dictionary.to_numpy(zero_copy_only=False)], pa.string()).dictionary_encode()
+        number = np.asarray(known.indices).astype(np.uint32)
+        return known.dictionary, np.concatenate([number[np.asarray(p.indices)] for p in parts])
 
     def row(self, endings: int, slab_words: int) -> pa.RecordBatch:
-        codes, lengths = np.concatenate(self.parts), np.array(self.lengths, np.int32)
+        (known, codes), lengths = self.coded(), np.concatenate(self.lengths)
+        self.parts.clear()
         start = np.cumsum(lengths, dtype=np.int64) - lengths
         order = np.argsort(-lengths, kind="stable")
         lengths, start = lengths[order], start[order]
         slab = (np.cumsum(lengths, dtype=np.int64) - lengths) // slab_words
         cuts = [0, *(np.flatnonzero(np.diff(slab)) + 1), len(lengths)]
         packed = [pa.compress(codes[ranges(start[a:b], lengths[a:b])][Layout(lengths[a:b]).source].tobytes(), "zstd", asbytes=True) for a, b in zip(cuts, cuts[1:])]
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.known), np.uint64, len(self.known)).view(np.int64)
-        tails: dict[str, int] = {}
-        kinds = np.empty(len(self.known), np.int16)
-        for k, w in enumerate(self.known):
-            t = w[-2:]
-            c = tails.get(t)
-            if c is None:
-                c = tails[t] = _ending(t, endings)
-            kinds[k] = c
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known.to_numpy(zero_copy_only=False)), np.uint64, len(known)).view(np.int64)
+        tails = pc.utf8_slice_codeunits(known, -2).dictionary_encode()
+        kinds = np.array([_ending(t, endings) for t in tails.dictionary.to_pylist()], np.int16)[np.asarray(tails.indices)]
         ids = pa.concat_arrays(self.ids).take(pa.array(order))
         one = lambda a: list_array(pa.array(a), np.array([len(a)]))
         return pa.RecordBatch.from_arrays(
             [
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                one(lengths), one(np.diff(cuts).astype(np.int32)), pa.array([packed], pa.list_(pa.binary())), one(hashes), one(kinds), one(np.bincount(codes, minlength=len(self.known)).astype(np.int64)),
+                one(lengths), one(np.diff(cuts).astype(np.int32)), pa.array([packed], pa.list_(pa.binary())), one(hashes), one(kinds), one(np.bincount(codes, minlength=len(known)).astype(np.int64)),
             ],
             ["doc_ids", "lengths", "slabs", "codes", "words", "endings", "counts"],
         )
@@ -154,47 +157,61 @@ class Layout:
         return np.bincount(ranges(np.zeros(self.longest, np.int64), self.live), values, len(self.size))
 
 
-def _forward(layout: Layout, emitted: np.ndarray, first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As ``forward``, with a row for each state: long rows are what NumPy is fast at."""
-    alpha, scale = np.empty_like(emitted), np.empty(emitted.shape[1])
-    turned, live, ends = np.ascontiguousarray(steps.T), layout.live.tolist(), layout.at.tolist()
+def _forward(layout: Layout, emitted: np.ndarray, first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Forward probabilities, scaled at every step number ``SCALED`` only; the scales of these steps, once for each state; and what
+    the probabilities at the last word of each document add up to."""
+    k = len(first)
+    alpha, scales, size = np.empty_like(emitted), [], layout.size[: layout.docs]
+    steps, ones, came = np.ascontiguousarray(steps), np.ones((k, k)), np.empty((layout.docs, k))
+    live, ends = layout.live.tolist(), layout.at.tolist()
     carry = None
     for t, n in enumerate(live):
         a, b = ends[t], ends[t + 1]
-        f = np.matmul(turned, carry[:, :n]) if t else first[:, None]
-        f = f * emitted[:, a:b]
-        c = np.add.reduce(f, 0, out=scale[a:b])
-        carry = np.divide(f, c, out=alpha[:, a:b])
-    return alpha, scale
+        f = alpha[a:b]
+        np.multiply(np.dot(carry[:n], steps, out=came[:n]) if t else first, emitted[a:b], out=f)
+        if t % SCALED == SCALED - 1:
+            scales.append(np.dot(f, ones))
+            np.divide(f, scales[-1], out=f)
+        carry = f
+    return alpha, scales, alpha[layout.at[size - 1] + np.arange(len(size))].sum(1)
 
 
 def forward(layout: Layout, emitted: np.ndarray, first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward probabilities and scales of all tokens; the log likelihood of a document is the sum of its
-    log scales."""
-    alpha, scale = _forward(layout, np.ascontiguousarray(emitted.T), first, steps)
-    return alpha.T, scale
+    """Scaled forward probabilities and scales of all tokens (1 where a step isn't scaled); the log likelihood of a document is
+    the sum of its log scales."""
+    alpha, scales, left = _forward(layout, np.ascontiguousarray(emitted), first, steps)
+    scale, size = np.ones(len(emitted)), layout.size[: layout.docs]
+    for t, c in zip(range(SCALED - 1, layout.longest, SCALED), scales):
+        scale[layout.at[t] : layout.at[t + 1]] = c[:, 0]
+    scale[layout.at[size - 1] + np.arange(len(size))] *= left
+    return alpha, scale
 
 
 def expect(layout: Layout, symbols: np.ndarray, first: np.ndarray, steps: np.ndarray, emission: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts of first states, steps and emissions over documents side by side, and their log likelihood.
 
     The backward recursion keeps one step at a time, and turns the forward probabilities into the
-    states' posteriors in their place."""
+    states' posteriors in their place. A row for each token keeps a step of all documents in one piece."""
     k = len(first)
-    emitted = np.take(emission.T, symbols, axis=1, mode="clip")
-    alpha, scale = _forward(layout, emitted, first, steps)
-    emitted /= scale
-    moved, steps = np.zeros((k, k)), np.ascontiguousarray(steps)
+    emitted = np.take(emission, symbols, axis=0, mode="clip")
+    alpha, scales, left = _forward(layout, emitted, first, steps)
+    moved, one, back = np.zeros((k, k)), np.empty((k, k)), np.ascontiguousarray(steps.T)
     live, ends = layout.live.tolist(), layout.at.tolist()
-    beta = np.ones((k, layout.docs))
+    beta, held = np.repeat(1 / left, k).reshape(-1, k), np.empty((layout.docs, k))
+    if live:
+        alpha[ends[-2] :] *= beta[: live[-1]]
     for t in range(layout.longest - 2, -1, -1):
         a, b, n = ends[t], ends[t + 1], live[t + 1]
-        weighted = beta[:, :n] * emitted[:, b : b + n]
-        moved += alpha[:, a : a + n] @ weighted.T
-        beta[:, :n] = np.matmul(steps, weighted)
-        alpha[:, a:b] *= beta[:, : b - a]
-    told = np.stack([np.bincount(symbols, own, len(emission)) for own in alpha], axis=1)
-    return alpha[:, : layout.docs].sum(1), steps * moved, told, float(np.log(scale).sum())
+        weighted = np.multiply(beta[:n], emitted[b : b + n], out=held[:n])
+        if (t + 1) % SCALED == SCALED - 1:
+            np.divide(weighted, scales[(t + 1) // SCALED], out=weighted)
+        moved += np.dot(alpha[a : a + n].T, weighted, out=one)
+        np.dot(weighted, back, out=beta[:n])
+        own = alpha[a:b]
+        np.multiply(own, beta[: b - a], out=own)
+    del emitted
+    told = np.stack([np.bincount(symbols, own, len(emission)) for own in alpha.T], axis=1)
+    return alpha[: layout.docs].sum(0), steps * moved, told, float(np.log(left).sum() + sum(np.log(c[:, 0]).sum() for c in scales))
 
 
 @dataclass
@@ -217,9 +234,16 @@ class Model:
 
 
 def _symbols(heavy: np.ndarray, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(heavy, hashes)
-    hit = heavy[np.minimum(at, len(heavy) - 1)] == hashes if len(heavy) else np.zeros(len(hashes), bool)
-    return np.where(hit, at, len(heavy) + endings.astype(np.int64))
+    symbols = len(heavy) + endings.astype(np.int64)
+    if len(heavy):
+        # few words have the last 16 bits of a heavy one, and only these are looked up
+        last = np.zeros(1 << 16, bool)
+        last[heavy & 0xFFFF] = True
+        maybe = np.flatnonzero(last[hashes & 0xFFFF])
+        at = np.minimum(np.searchsorted(heavy, hashes[maybe]), len(heavy) - 1)
+        hit = heavy[at] == hashes[maybe]
+        symbols[maybe[hit]] = at[hit]
+    return symbols
 
 
 def _words(block: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +261,7 @@ def _slabs(block: pa.RecordBatch | pa.Table, k: int) -> Iterator[tuple[Layout, n
 
 def _over(slabs: Iterator[tuple[Layout, np.ndarray]], first: np.ndarray, steps: np.ndarray, emission: np.ndarray):
     """What is expected of all slabs, as ``expect`` gives it; emission is that of the block's words."""
-    emission = np.asfortranarray(emission)
+    emission = np.ascontiguousarray(emission)
     k = len(first)
     f, moved, told, ll = np.zeros(k), np.zeros((k, k)), np.zeros(emission.shape), 0.0
     for layout, codes in slabs:
@@ -389,13 +413,13 @@ class WordModel:
     likelihoods: list[float]
 
 
-def _split(words: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The parts that a block's words are in, and the codes of these words."""
-    part = ((words.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+def _split(words: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The codes of a block's words, part by part, and each part that has any: its number, and from where to where its codes are."""
+    part = ((words.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
-    ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
-    for a, b in zip([0, *ends[:-1]], ends):
-        yield int(part[order[a]]), order[a:b]
+    part = part[order]
+    ends = (np.flatnonzero(part[1:] != part[:-1]) + 1).tolist() + [len(part)] if len(part) else []
+    return order, [(int(part[a]), a, b) for a, b in zip([0, *ends], ends)]
 
 
 _SENT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("data", pa.binary())])
@@ -403,7 +427,9 @@ _SENT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("words", pa.bin
 
 def _sent(block: int, words: np.ndarray, values: np.ndarray, parts: int, figures: np.ndarray | None = None) -> pa.Table:
     """A block's values for its words, a row for each part; its figures as part -1."""
-    rows = [(p, block, words[own].tobytes(), values[own].astype(np.float32).tobytes()) for p, own in _split(words, parts)]
+    order, split = _split(words, parts)
+    words, values = words[order], values.astype(np.float32)[order]
+    rows = [(p, block, words[a:b].tobytes(), values[a:b].tobytes()) for p, a, b in split]
     if figures is not None:
         rows.append((-1, block, b"", figures.tobytes()))
     return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _SENT)], schema=_SENT)
@@ -415,12 +441,12 @@ def _add(part: pa.Table) -> pa.Table:
     if p < 0:
         total = sum(np.frombuffer(x) for x in data)
         return pa.table([pa.array([p], pa.int32()), pa.array([-1], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "block", "data"])
-    words = [np.frombuffer(w, np.int64) for w in part.column("words").to_pylist()]
-    sizes = np.array([len(w) for w in words])
-    _, at = np.unique(np.concatenate(words), return_inverse=True)
+    words = part.column("words").to_pylist()
+    ends = np.cumsum([len(w) // 8 for w in words]).tolist()
+    at = np.asarray(pa.array(np.frombuffer(b"".join(words), np.int64)).dictionary_encode().indices).astype(np.intp)
     values = np.frombuffer(b"".join(data), np.float32).reshape(len(at), -1)
-    sums = np.stack([np.bincount(at, v) for v in values.T], axis=1).astype(np.float32)
-    out = [sums[x].tobytes() for x in np.split(at, np.cumsum(sizes)[:-1])]
+    sums = np.stack([np.bincount(at, v) for v in values.T], axis=1).astype(np.float32)[at]
+    out = [sums[a:b].tobytes() for a, b in zip([0, *ends], ends)]
     release()
     return pa.table([part.column("part"), part.column("block"), pa.array(out, pa.binary())], ["part", "block", "data"])
 
@@ -435,8 +461,8 @@ def _emitted(block: pa.Table, told: pa.Table, classes: tuple, total: np.ndarray
     words, endings = _words(block, 0)
     own = dict(zip(told.column("part").to_pylist(), told.column("data").to_pylist()))
     counts = np.empty((len(words), 1 if total is None else len(total)))
-    for p, codes in _split(words, parts):
-        counts[codes] = np.frombuffer(own[p], np.float32).reshape(len(codes), -1)
+    order, split = _split(words, parts)
+    counts[order] = np.frombuffer(b"".join(own[p] for p, _, _ in split), np.float32).reshape(counts.shape)
     symbols = _symbols(heavy, words, endings)
     base = emission[symbols] * ((counts.sum(1) + 1) / (mass + distinct + 1)[symbols])[:, None]
     return base * _jitter(words, base.shape[1]) if total is None else (counts + PRIOR * base) / (total + PRIOR)

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import sys
 import time
 import tracemalloc
 from collections import Counter, defaultdict
@@ -382,6 +383,53 @@ def test_slabs_change_no_score(spark, docs):
     assert all(n == scores[1][i][0] and abs(ll - scores[1][i][1]) < 1e-4 * abs(ll) for i, (n, ll) in scores[0].items())
 
 
+def test_a_block_is_coded_by_its_distinct_words():
+    """Python works on each distinct word of a block, not on each text; words are Python's, whatever white space and letters they have."""
+    rng = random.Random(7)
+    letters = ["a", "B", "\u03a3", "\u03c3", "\u0130", "\u00df", "\u00c9", "\u01c5", "\u4e2d", " ", "\t", "\n", "\x1c", "\x85", "\xa0", "\u2028", "\u200b", "\x00"]
+    odd = [None, "", " \n", *("".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(500))]
+    plain = [" ".join(rng.choices(WORDS, k=20)) for _ in range(2000)]
+    for texts in (odd, plain, [None, " "]):
+        calls = 0
+
+        def count(frame, event, arg):
+            nonlocal calls
+            calls += event in ("call", "c_call")
+
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+        sys.setprofile(count)
+        try:
+            (row,) = hmm_lm._encoded(1024, 1 << 20, 1_000_000)(iter([batch]))
+        finally:
+            sys.setprofile(None)
+        assert texts is not plain or calls < 2000
+        words = [(t or "").lower().split() for t in texts]
+        number = {w: k for k, w in enumerate(dict.fromkeys(w for own in words for w in own))}
+        assert row.column("words")[0].as_py() == [int(np.uint64(hmm_lm.xxhash.xxh3_64_intdigest(w)).view(np.int64)) for w in number]
+        assert row.column("endings")[0].as_py() == [hmm_lm._ending(w, 1024) for w in number]
+        order = sorted(range(len(texts)), key=lambda i: -len(words[i]))
+        assert row.column("doc_ids")[0].as_py() == order and row.column("lengths")[0].as_py() == [len(words[i]) for i in order]
+        want = [number[words[i][t]] for t in range(len(words[order[0]])) for i in order if t < len(words[i])]
+        assert [int(c) for _, codes in hmm_lm._slabs(row, 0) for c in codes] == want
+
+
+def test_scaling_of_some_steps_loses_nothing():
+    """The recursions scale one step in ``SCALED``, and stay exact where each step is as unlikely as it can be."""
+    first, steps = np.array([1.0, 1e-22]), np.array([[1.0, 1e-22], [1e-22, 1.0]])
+    emission = np.array([[1e-11, 0.0], [0.0, 1e-11]])
+    docs = [np.arange(n) % 2 for n in (41, 40, 7, 1, 0)]
+    layout = hmm_lm.Layout(np.array([len(d) for d in docs]))
+    symbols = np.concatenate(docs)[layout.source]
+    f, moved, told, total = hmm_lm.expect(layout, symbols, first, steps, emission)
+    # the only path of each document changes its state at every step
+    want = sum(len(d) * math.log(1e-11) + max(len(d) - 1, 0) * math.log(1e-22) for d in docs)
+    assert abs(total - want) < 1e-9 * abs(want) and np.allclose(f, [4, 0])
+    assert np.allclose(moved, [[0, sum(len(d) // 2 for d in docs)], [sum(max(len(d) - 1, 0) // 2 for d in docs), 0]]) and np.allclose(told, np.diag(np.bincount(symbols)))
+    sums = layout.sums(np.log(hmm_lm.forward(layout, emission[symbols], first, steps)[1]))
+    assert np.allclose(sums, [len(d) * math.log(1e-11) + max(len(d) - 1, 0) * math.log(1e-22) for d in docs], rtol=1e-12)
+    assert len(hmm_lm._forward(layout, emission[symbols], first, steps)[1]) == 41 // hmm_lm.SCALED
+
+
 # -- 6 --
 
 
