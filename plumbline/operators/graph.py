@@ -21,7 +21,7 @@ from ..config import GraphConfig
 from ..functions.metrics import pair_distance
 from ..shared import stage
 from ..workers import map_arrow
-from .knn import BLOCK, DECIMALS, knn_join, measured, prepared, top_k
+from .knn import DECIMALS, knn_join, measured, prepared, top_k
 
 TOP_LEVEL = 9
 #: Size of a graph that is sent to every worker.
@@ -35,7 +35,7 @@ def nodes(data: DataFrame, id_col: str = "id", vector_col: str = "vector") -> Da
 
 
 def edges(graph: DataFrame, config: GraphConfig, levels: int = TOP_LEVEL + 1) -> DataFrame:
-    """(level, src, dst), symmetric and distinct. Levels that fit into one block are built by one task each."""
+    """(level, src, dst), symmetric and distinct."""
     per_level = {r["level"]: r["n"] for r in graph.groupBy("level").agg(F.count("*").alias("n")).collect()}
     parts = []
     for level in range(levels):
@@ -43,9 +43,7 @@ def edges(graph: DataFrame, config: GraphConfig, levels: int = TOP_LEVEL + 1) ->
         if not rows and parts:
             break
         own = graph.where(F.col("level") >= level).select("id", F.col("vec").alias("vector"))
-        if rows <= BLOCK:
-            own = own.coalesce(1)
-        near = knn_join(own, own, config.m, config.metric, rule="earlier").select(F.col("query_id").alias("a"), F.col("id").alias("b"))
+        near = knn_join(own, own, config.m, config.metric, rule="earlier", sizes=(rows, rows)).select(F.col("query_id").alias("a"), F.col("id").alias("b"))
         both = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
         # the later node is always first in ``near``, so no edge comes twice
         parts.append(near.select(both.alias("e")).select(F.lit(level).alias("level"), "e.src", "e.dst"))

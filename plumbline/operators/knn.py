@@ -1,18 +1,20 @@
 """Exact k-nearest-neighbour joins.
 
-Both sides are packed into blocks of vectors. The blocks meet in a Cartesian product, and each meeting
-is one matrix product whose k best per query are all that leaves it; a window over these few rows
-picks the final k. Work is n * m products however it is done exactly; here nothing else is
-shuffled, and no side is broadcast.
+Both sides are packed into blocks of vectors. The blocks meet in a Cartesian product. A block of queries keeps its k best
+while the blocks of a share of the data come by, and only points that can still come in are measured; the k best of each share are all that leaves it, and a window over these few rows
+picks the final k. All pairs are looked at, but each costs little more than its part of a matrix product; what is
+shuffled grows with the rows (k for a query and share of ``SHARE`` blocks).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,10 +23,12 @@ from ..errors import ValidationError
 from ..functions.metrics import block_distance, distance, metric_name, pair_distance
 from ..shared import broadcast_if_small, stage
 from ..workers import importable, map_arrow
+from .nearest import DECIMALS, Nearest
 
-DECIMALS = 6
-#: Vectors in a block; a meeting of two blocks holds the square of it in distances.
-BLOCK = 2048
+#: Vectors in a block at most, and blocks of the data that a task meets.
+BLOCK, SHARE = 4096, 64
+#: Queries in a block at least, where there are few; tasks for a core.
+_LEAST, _TASKS = 64, 4
 _SPARE = 4
 
 
@@ -33,33 +37,60 @@ def prepared(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vec")).where("id is not null and size(vec) > 0")
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list] = {}
+def _packed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        label = (context.partitionId() if context else 0) << 32
+        held: dict[int, list] = {}
+
+        def row(parts: list) -> pa.RecordBatch:
+            nonlocal label
+            label += 1
+            ids, vecs = pa.concat_arrays([p[0] for p in parts]), pa.concat_arrays([p[1].flatten() for p in parts])
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, vecs)]
+            return pa.RecordBatch.from_arrays([pa.array([label]), *columns], ["block", "ids", "flat"])
 
-    def row(parts: list) -> pa.RecordBatch:
-        ids, vecs = pa.concat_arrays([p[0] for p in parts]), pa.concat_arrays([p[1].flatten() for p in parts])
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, vecs)], ["ids", "flat"])
+        for b in batches:
+            sizes = np.asarray(pc.list_value_length(b.column(1)))
+            for dims in np.unique(sizes):
+                own = b.filter(pa.array(sizes == dims)) if len(np.unique(sizes)) > 1 else b
+                parts, at = held.setdefault(int(dims), []), 0
+                while at < own.num_rows:
+                    part = own.slice(at, size - sum(len(p[0]) for p in parts))
+                    parts.append((part.column(0), part.column(1)))
+                    at += part.num_rows
+                    if sum(len(p[0]) for p in parts) == size:
+                        yield row(parts)
+                        parts.clear()
+        for parts in held.values():
+            if parts:
+                yield row(parts)
 
-    for b in batches:
-        sizes = np.asarray(pc.list_value_length(b.column(1)))
-        for dims in np.unique(sizes):
-            own = b.filter(pa.array(sizes == dims)) if len(np.unique(sizes)) > 1 else b
-            for at in range(0, own.num_rows, BLOCK):
-                part = own.slice(at, BLOCK)
-                parts = held.setdefault(int(dims), [])
-                if sum(len(p[0]) for p in parts) + part.num_rows > BLOCK:
-                    yield row(parts)
-                    parts.clear()
-                parts.append((part.column(0), part.column(1)))
-    for parts in held.values():
-        if parts:
-            yield row(parts)
+    return run
 
 
-def pack(vectors: DataFrame) -> DataFrame:
-    """Blocks (ids, flat) of an (id, vec) table; vectors of different lengths are in different blocks."""
+def pack(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Blocks (block, ids, flat) of an (id, vec) table, of ``size`` vectors; vectors of different lengths are in different blocks."""
     kind = vectors.schema["id"].dataType.simpleString()
-    return map_arrow(vectors, _packed, f"ids array<{kind}>, flat array<double>")
+    return map_arrow(vectors, _packed(size), f"block bigint, ids array<{kind}>, flat array<double>")
+
+
+def crossed(q: DataFrame, p: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """(block, ids, flat, p_block, p_ids, p_flat): all blocks of two (id, vec) tables, which have ``sizes`` rows. Each is packed once, and dealt out
+    so that every core has blocks of queries to do, and a task holds ``SHARE`` blocks of the data at most."""
+    n_q, n_p = sizes or (q.count(), p.count())
+    cores = q.sparkSession.sparkContext.defaultParallelism
+
+    def dealt(df: DataFrame, rows: int, size: int, parts: int) -> DataFrame:
+        # partitions of a few rows each would give as many blocks
+        return pack(df.coalesce(max(cores, -(-rows // (4 * size)))), size).repartition(parts)
+
+    size = min(BLOCK, max(_LEAST, -(-n_q // (_TASKS * cores))))
+    blocks = max(1, -(-n_q // size))
+    left = dealt(q, n_q, size, min(blocks, max(_TASKS * cores, -(-blocks // SHARE))))
+    right = dealt(p, n_p, BLOCK, max(1, -(-n_p // (BLOCK * SHARE))))
+    # else a small side would be broadcast, and the other one's partitions be the tasks
+    return left.hint("shuffle_replicate_nl").crossJoin(right.withColumnsRenamed({"block": "p_block", "ids": "p_ids", "flat": "p_flat"}))
 
 
 def _nearest(q: np.ndarray, p: np.ndarray, qi: np.ndarray, pi: np.ndarray, k: int, block, exact, rule: str = "all") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,22 +113,31 @@ def _nearest(q: np.ndarray, p: np.ndarray, qi: np.ndarray, pi: np.ndarray, k: in
     return r, c, np.round(exact(q[r], p[c]), DECIMALS) + 0.0
 
 
-def _meet(metric: str, k: int, rule: str):
-    block, exact = block_distance(metric), pair_distance(metric)
+def keys_of(ids: pa.Array) -> np.ndarray:
+    return np.array(ids.to_pylist()) if not pa.types.is_integer(ids.type) else np.asarray(ids)
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, Iterator[tuple[pa.Array, np.ndarray]]]]:
+    """(query ids, queries, the (ids, points) that they meet) of ``crossed`` rows, which come by block of queries; each is to be read to its end."""
+    rows = ([b.column(c)[i] for c in range(6)] for b in batches for i in range(b.num_rows))
+    matrix = lambda ids, flat: np.asarray(flat.values, np.float64).reshape(len(ids.values), -1)
+    for _, own in groupby(rows, key=lambda r: r[0].as_py()):
+        first = next(own)
+        yield first[1].values, matrix(first[1], first[2]), ((r[4].values, matrix(r[4], r[5])) for r in chain([first], own))
 
+
+def _meet(metric: str, k: int, rule: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                q_ids, q_flat, p_ids, p_flat = (b.column(c)[i].values for c in range(4))
-                q = np.asarray(q_flat, np.float64).reshape(len(q_ids), -1)
-                p = np.asarray(p_flat, np.float64).reshape(len(p_ids), -1)
+        for q_ids, q, met in meetings(batches):
+            nearest, seen, at = Nearest(q, keys_of(q_ids), k, metric, rule), [], 0
+            for p_ids, p in met:
                 if q.shape[1] != p.shape[1]:
                     raise ValidationError(f"vectors of length {q.shape[1]} and {p.shape[1]}")
-                qi, pi = (np.array(x.to_pylist()) for x in (q_ids, p_ids))
-                by_id = np.argsort(pi, kind="stable")  # equal distances then go by id
-                r, c, found = _nearest(q, p[by_id], qi, pi[by_id], k, block, exact, rule)
-                at = pa.array(c), pa.array(r)
-                yield pa.RecordBatch.from_arrays([q_ids.take(at[1]), p_ids.take(pa.array(by_id)).take(at[0]), pa.array(found)], ["query_id", "id", "distance"])
+                nearest.add(p, keys_of(p_ids), at)
+                seen.append(p_ids)
+                at += len(p_ids)
+            row, place, d = nearest.result()
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row)), pa.concat_arrays(seen).take(pa.array(place)), pa.array(d)], ["query_id", "id", "distance"])
 
     return run
 
@@ -228,11 +268,12 @@ def knn_join(
     id_col: str = "id",
     vector_col: str = "vector",
     rule: str = "all",
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest rows of ``data`` for every row of ``queries``.
 
     Distances have six decimals; ties go by the smaller id. ``rule``: "all", "others" (not the row of the query's own
-    id) or "earlier" (smaller ids only). Rows without an id or vector take no part; unequal lengths raise.
+    id) or "earlier" (smaller ids only). ``sizes``: the numbers of rows, where they are known. Rows without an id or vector take no part; unequal lengths raise.
     An empty side gives an empty result.
     """
     if k < 1:
@@ -241,8 +282,7 @@ def knn_join(
         raise ValidationError(f"unknown rule: {rule}")
     q, p = prepared(queries, query_id, query_vector), prepared(data, id_col, vector_col)
     q_type, p_type = (x.schema["id"].dataType.simpleString() for x in (q, p))
-    met = pack(q).crossJoin(pack(p).withColumnsRenamed({"ids": "p_ids", "flat": "p_flat"}))
-    found = map_arrow(met, _meet(metric_name(metric), k, rule), f"query_id {q_type}, id {p_type}, distance double")
+    found = map_arrow(crossed(q, p, sizes), _meet(metric_name(metric), k, rule), f"query_id {q_type}, id {p_type}, distance double")
     return top_k(found, k).select("query_id", "rank", "id", "distance")
 
 
@@ -265,7 +305,7 @@ def similarity_matrix(left: DataFrame, right: DataFrame, id_col: str = "id", vec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x_ids, x, y_ids, y = (batch.column(c)[i].values for c in range(4))
+                x_ids, x, y_ids, y = (batch.column(c)[i].values for c in (1, 2, 4, 5))
                 x, y = np.asarray(x).reshape(len(x_ids), -1), np.asarray(y).reshape(len(y_ids), -1)
                 if x.shape[1] != y.shape[1]:
                     raise ValidationError(f"vectors of length {x.shape[1]} and {y.shape[1]}")
@@ -274,8 +314,7 @@ def similarity_matrix(left: DataFrame, right: DataFrame, id_col: str = "id", vec
                     r, c = np.indices(part.shape).reshape(2, -1)
                     yield pa.RecordBatch.from_arrays([x_ids.take(pa.array(r + at)), y_ids.take(pa.array(c)), pa.array(np.round(1.0 - part.ravel(), DECIMALS) + 0.0)], ["a", "b", "similarity"])
 
-    met = pack(a).crossJoin(pack(b).withColumnsRenamed({"ids": "p_ids", "flat": "p_flat"}))
-    return map_arrow(met, run, f"a {types[0]}, b {types[1]}, similarity double")
+    return map_arrow(crossed(a, b), run, f"a {types[0]}, b {types[1]}, similarity double")
 
 
 def anomalies(data: DataFrame, threshold: float, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
