@@ -73,3 +73,23 @@ def test_quantized_join_does_not_carry_vectors_a_candidate(spark):
         assert found[i] == near[np.lexsort((near, np.round(np.linalg.norm(x[near] - v, axis=1), 6)))][:3].tolist()
     plan = reranked._jdf.queryExecution().toString()
     assert plan.count("CartesianProduct") == 1 and plan.split("== Physical Plan ==")[1].count("SortMergeJoin") + plan.split("== Physical Plan ==")[1].count("BroadcastHashJoin") <= 1
+
+
+def test_a_step_of_k_means_is_a_product_for_each_part():
+    import pyarrow as pa
+
+    from plumbline.operators import clusters
+
+    x = np.random.default_rng(5).normal(3, 1, (5000, 8))
+    centres, cuts = [x[:40, :4].copy(), x[40:80, 4:].copy()], [(0, 4), (4, 8)]
+    centres[0][7] = centres[0][3]  # of two equal centres the first counts
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array((np.arange(5001) * 8).astype(np.int32)), pa.array(x.ravel()))], ["vec"])
+    rows = next(clusters._step(centres, cuts, "euclidean")([batch])).to_pylist()
+    got = {(r["part"], r["k"]): (r["n"], r["total"]) for r in rows}
+    assert (0, 7) not in got
+    for m, (a, e) in enumerate(cuts):
+        near = ((x[:, None, a:e] - centres[m][None]) ** 2).sum(2).argmin(1)
+        for k in set(near.tolist()):
+            own = x[near == k, a:e]
+            assert got[m, k][0] == len(own) and np.allclose(got[m, k][1], own.sum(0))
+    assert clusters._closest(centres[0], "euclidean")(x[:, :4]).shape == (5000,)
