@@ -142,6 +142,39 @@ def _meet(metric: str, k: int, rule: str):
     return run
 
 
+def marked_join(queries: DataFrame, data: DataFrame, marks: tuple[int, int], admits, k: int, metric: str) -> DataFrame:
+    """(query_id, rank, id, distance): the k nearest of the rows that count for a query, by the exact join.
+
+    Both sides are (id, vec), where ``vec`` is a vector and then the row's ``marks`` whole numbers. ``admits(query marks, point marks)`` gives
+    a function of (query rows, point rows) that tells which pairs count, and the query rows that come into question, or None for all of them.
+    For groups that take in so much of the data that their rows had better not travel once a group.
+    """
+    a, b = marks
+    metric = metric_name(metric)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q_ids, q, met in meetings(batches):
+            own, q = q[:, -a:].astype(np.int64), np.ascontiguousarray(q[:, :-a])
+            nearest, seen, at = Nearest(q, keys_of(q_ids), k, metric), [], 0
+            for p_ids, p in met:
+                if q.shape[1] != p.shape[1] - b:
+                    raise ValidationError(f"vectors of length {q.shape[1]} and {p.shape[1] - b}")
+                allowed, rows = admits(own, p[:, -b:].astype(np.int64))
+                nearest.add(np.ascontiguousarray(p[:, :-b]), keys_of(p_ids), at, allowed, rows)
+                seen.append(p_ids)
+                at += len(p_ids)
+            row, place, d = nearest.result()
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row)), pa.concat_arrays(seen).take(pa.array(place)), pa.array(d)], ["query_id", "id", "distance"])
+
+    types = [x.schema["id"].dataType.simpleString() for x in (queries, data)]
+    found = map_arrow(crossed(queries, data), run, f"query_id {types[0]}, id {types[1]}, distance double")
+    return top_k(found, k).select("query_id", "rank", "id", "distance")
+
+
+def lists_of(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
+
+
 #: Rows of a group, on either side, that meet in one product; rows of the data in a task, about.
 GROUP_ROWS, TASK_ROWS = 4096, 50_000
 

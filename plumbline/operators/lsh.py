@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from ..config import LshConfig
 from ..errors import IndexError_, ValidationError
 from ..workers import map_arrow
-from .knn import group_search, prepared
+from .clusters import WIDE
+from .knn import group_search, lists_of, marked_join, prepared
 
 
 def projections(config: LshConfig, dims: int) -> tuple[list[list[list[float]]], list[list[float]]]:
@@ -50,14 +52,45 @@ def buckets(data: DataFrame, config: LshConfig, dims: int, id_col: str = "id", v
     return map_arrow(own, _codes(config, dims, keep_vector), schema)
 
 
+def _marked(config: LshConfig, dims: int):
+    """(id, vec): vectors and then their buckets, table by table."""
+    codes = _codes(config, dims, False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1 if b.num_rows else dims)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists_of(np.column_stack([x, *(np.asarray(t.column(1), np.float64) for t in codes([b]))]))], ["id", "vec"])
+
+    return run
+
+
+def _within(flips: int):
+    def admits(asked: np.ndarray, placed: np.ndarray):
+        def allowed(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+            near = np.zeros(len(rows), bool)
+            for t in range(asked.shape[1]):
+                near |= np.bitwise_count(asked[rows, t] ^ placed[points, t]) <= flips
+            return near
+
+        return allowed, None
+
+    return admits
+
+
 def lsh_search(queries: DataFrame, data: DataFrame, config: LshConfig, dims: int, k: int, id_col: str = "id", vector_col: str = "vector", flips: int = 0) -> DataFrame:
     """(query_id, rank, id, distance) among rows that share a bucket with the query in any table,
     or whose bucket's number differs from the query's in at most ``flips`` bits.
 
-    Each bucket is one matrix product for its rows and the queries that look into it.
+    Each bucket is one matrix product for its rows and the queries that look into it. Where a query looks into ``WIDE`` of all buckets or more,
+    the exact join measures the pairs whose buckets are so near.
     """
     if dims < 1:
         raise IndexError_("the dimension is not known")
+    looks = sum(comb(config.num_bits, n) for n in range(flips + 1))
+    if looks * config.num_tables >= WIDE * 2**config.num_bits:
+        sides = [prepared(x, id_col, vector_col) for x in (queries, data)]
+        q, p = (map_arrow(x, _marked(config, dims), f"id {x.schema['id'].dataType.simpleString()}, vec array<double>") for x in sides)
+        return marked_join(q, p, (config.num_tables, config.num_tables), _within(flips), k, config.metric)
     q = buckets(queries, config, dims, id_col, vector_col, True).select("table_no", "bucket", F.col("id").alias("query_id"), F.col("vec").alias("q"))
     if flips:
         masks = [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(config.num_bits), n)]

@@ -14,14 +14,10 @@ from ..errors import QuantizationError, ValidationError
 from ..functions.metrics import cosine_distance, pair_distance, squared_euclidean
 from ..workers import map_arrow
 from .clusters import literal, lloyd
-from .knn import crossed, keys_of, knn_join, meetings, prepared, top_k
+from .knn import crossed, keys_of, knn_join, lists_of, meetings, prepared, top_k
 from .nearest import DECIMALS, PAIRS, Nearest
 
 
-def _lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
-
-
 def _array(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
@@ -109,7 +105,7 @@ class ProductQuantizer:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x = self._words(np.asarray(b.column(1).flatten(), np.int64).reshape(b.num_rows, self.parts))
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists(x)], ["id", "vector"])
+                yield pa.RecordBatch.from_arrays([b.column(0), lists_of(x)], ["id", "vector"])
 
         return run
 

@@ -204,8 +204,11 @@ def ivf_wide(spark, d):
 
 
 def _recall(found: DataFrame, exact: DataFrame) -> DataFrame:
-    hits = exact.select("query_id", "id").join(found.select("query_id", "id"), ["query_id", "id"]).agg(F.count("*").alias("hits"))
-    return hits.crossJoin(exact.agg(F.count("*").alias("wanted"))).select("hits", "wanted", F.round(F.col("hits") / F.col("wanted"), 6).alias("recall"))
+    """Each side is read once: it may be a search."""
+    pair = ["query_id", "id"]
+    hits, wanted = (x.groupBy(pair).agg(F.count("*").alias(n)) for x, n in ((found, "h"), (exact, "w")))
+    both = wanted.join(hits, pair, "left").agg(F.coalesce(F.sum(F.col("h") * F.col("w")), F.lit(0)).alias("hits"), F.coalesce(F.sum("w"), F.lit(0)).alias("wanted"))
+    return both.select("hits", "wanted", F.round(F.col("hits") / F.col("wanted"), 6).alias("recall"))
 
 
 def _recall_sql(ctes: str) -> str:

@@ -93,3 +93,26 @@ def test_a_step_of_k_means_is_a_product_for_each_part():
             own = x[near == k, a:e]
             assert got[m, k][0] == len(own) and np.allclose(got[m, k][1], own.sum(0))
     assert clusters._closest(centres[0], "euclidean")(x[:, :4]).shape == (5000,)
+
+
+def test_wide_searches_do_not_copy_rows_for_each_group(spark, monkeypatch):
+    from plumbline.config import LshConfig
+    from plumbline.operators import clusters, lsh
+
+    x = np.random.default_rng(6).normal(0, 1, (700, 6)).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").cache()
+    config, centres = LshConfig(num_tables=2, num_bits=5), x[:7].tolist()
+    searches = [lambda: lsh.lsh_search(df, df, config, 6, 3, flips=2), lambda: clusters.ivf_search(df, clusters.assign(df, centres), centres, 3, 4)]
+    wide = [s() for s in searches]
+    assert all("FlatMapCoGroups" not in w._jdf.queryExecution().toString() for w in wide)
+    monkeypatch.setattr(clusters, "WIDE", 1e9)
+    monkeypatch.setattr(lsh, "WIDE", 1e9)
+    for w, s in zip(wide, searches):
+        assert sorted(w.collect()) == sorted(s().collect())
+
+
+def test_recall_reads_the_exact_search_once(spark):
+    from plumbline.plans import catalogue
+
+    plan = catalogue.QUERIES["recall_at_10_lsh"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("CartesianProduct") == 1
