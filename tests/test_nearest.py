@@ -116,3 +116,19 @@ def test_recall_reads_the_exact_search_once(spark):
 
     plan = catalogue.QUERIES["recall_at_10_lsh"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("CartesianProduct") == 1
+
+
+def test_a_link_of_a_local_graph_is_four_bytes(spark):
+    from plumbline.config import GraphConfig
+    from plumbline.operators import graph
+
+    x = np.random.default_rng(7).normal(0, 1, (200, 4)).round(3)
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").cache()
+    config = GraphConfig(m=4, ef_search=20)
+    g = graph.nodes(df).cache()
+    links = graph.edges(g, config).cache()
+    size = g.count() * (8 * 4 + 60) + links.count() * 4
+    few = df.where("id < 30")
+    near, far = (graph.graph_search(few, g, links, config, 5, local_bytes=size - n) for n in (0, 1))
+    assert "Window" not in near._jdf.queryExecution().toString() and "Window" in far._jdf.queryExecution().toString()
+    assert sorted(near.collect()) == sorted(far.collect())
