@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..errors import ValidationError
@@ -165,11 +166,11 @@ def chunk_paragraphs(docs: DataFrame, size: int = 2000, overlap: int = 0, least:
 # -- TF-IDF --
 
 
-def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = spread(docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("txt")).where("txt is not null"))
+def _tokens(docs: DataFrame, id_col: str, text_col: str, *kept: str) -> DataFrame:
+    own = spread(docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("txt"), *kept).where("txt is not null"))
     # split once: the cuts at the ends look at the result several times
-    parts = own.select("doc", "txt", F.split(F.lower("txt"), r"[\W_]+").alias("parts"))
-    return parts.select("doc", _without_ends(F.col("parts"), F.col("txt")).alias("t"))
+    parts = own.select("doc", "txt", F.split(F.lower("txt"), r"[\W_]+").alias("parts"), *kept)
+    return parts.select("doc", _without_ends(F.col("parts"), F.col("txt")).alias("t"), *kept)
 
 
 def _counted(tokens: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -242,8 +243,12 @@ class TfidfModel:
 
     def dense(self, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
         """(id, vector) of every row, in the order of the terms; zeros where a text has no weight."""
-        texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-        own = _tokens(texts, "id", "text").withColumnRenamed("doc", "id")
+        return self.beside(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text").select("id", "vector")
+
+    def beside(self, rows: DataFrame, text_col: str = "text") -> DataFrame:
+        """All columns of ``rows`` and the vector of the text: nothing is joined or shuffled."""
+        own = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("txt"), F.lit(0).alias("none"))
+        tokens = _tokens(own, "none", "txt", "row").select("row", "t")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -253,9 +258,10 @@ class TfidfModel:
                     full = np.zeros((part.num_rows, len(self)))
                     full[row, number] = w
                     ends = pa.array((np.arange(part.num_rows + 1) * len(self)).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(full.ravel()))], ["id", "vector"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(full.ravel()))], ["row", "vector"])
 
-        return map_arrow(own, run, f"id {own.schema['id'].dataType.simpleString()}, vector array<double>")
+        fields = [StructField("row", tokens.schema["row"].dataType), StructField("vector", ArrayType(DoubleType()))]
+        return map_arrow(tokens, run, StructType(fields)).select("row.*", "vector")
 
 
 def tfidf_weights(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -49,6 +49,10 @@ class TfidfEmbedder:
     def embed(self, texts: DataFrame) -> DataFrame:
         return self.model.dense(texts)
 
+    def embed_rows(self, rows: DataFrame, text_col: str) -> DataFrame:
+        """The rows themselves, each with its vector."""
+        return self.model.beside(rows, text_col)
+
     @property
     def dimensions(self) -> int:
         return len(self.model)
@@ -77,11 +81,13 @@ class Chunking:
 
 
 def embedded_chunks(docs: DataFrame, embedder: Embedder, chunking: Chunking = Chunking(), fit: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The chunks of all documents, and the vector of each."""
+    """The chunks of all documents, and the vector of each. An embedder with ``embed_rows`` sets it beside the chunk; the vectors of others are joined."""
     chunks = chunking.apply(docs, id_col, text_col)
     texts = chunks.select(F.col("chunk_id").alias("id"), F.col("chunk").alias("text"))
     if fit:
         embedder.fit(texts)
+    if hasattr(embedder, "embed_rows"):
+        return embedder.embed_rows(chunks, "chunk")
     return chunks.join(embedder.embed(texts).withColumnRenamed("id", "chunk_id"), "chunk_id")
 
 
